@@ -7,8 +7,8 @@ Three stages, each grouping by the *full text* beside its digest, so a digest co
 3. global: at most ``salts`` winners per text are combined.
 
 A text that makes up a third of all rows therefore reaches any task as one row per upstream task and salt.
-Texts are not shuffled again to map rows to their group: digests are joined, narrow on both sides, and the
-join's hot keys are split by adaptive execution.  The digests are known by then to stand for one text each; one
+Texts are not shuffled again to map rows to their group: digests are joined, narrow on both sides; groups that hold
+over a thousandth of all rows, at most a thousand, are broadcast instead.  The digests are known by then to stand for one text each; one
 that covered two texts would stop the job, never merge them.
 
 Null texts count as empty.  Rows with equal text and equal ``doc_id`` are copies of one row: all are reported
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import text_of
 
 SALTS = 32
+HOT = 1000
 
 
 def groups(docs: DataFrame, salts: int = SALTS) -> DataFrame:
@@ -58,11 +59,18 @@ def assignments(docs: DataFrame, salts: int = SALTS) -> DataFrame:
         "group_size",
     )
     rows = docs.select(F.col("doc_id"), F.sha2(text_of(docs), 256).alias("text_sha256"))
-    return rows.join(sound, "text_sha256").select(
+    # At most HOT groups can hold a HOT-th of all rows each: those are broadcast, so no task gets a hot digest's rows.
+    hot = sound.where(F.col("group_size") * HOT > docs.count()).select(
+        F.col("text_sha256").alias("_hot"), F.col("keep_id").alias("_keep"), F.col("group_size").alias("_size")
+    )
+    marked = rows.join(F.broadcast(hot), F.col("text_sha256") == F.col("_hot"), "left").withColumn(
+        "_key", F.when(F.col("_hot").isNull(), F.col("text_sha256")).otherwise(F.concat(F.lit("-"), F.xxhash64("doc_id").cast("string")))
+    )
+    return marked.join(sound.withColumnRenamed("text_sha256", "_key"), "_key", "left").select(
         "doc_id",
-        "keep_id",
-        "group_size",
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
+        F.coalesce("_keep", "keep_id").alias("keep_id"),
+        F.coalesce("_size", "group_size").alias("group_size"),
+        F.col("doc_id").eqNullSafe(F.coalesce("_keep", "keep_id")).alias("kept"),
         "text_sha256",
     )
 
