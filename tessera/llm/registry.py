@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, exact_dedup, mixing, spm
-from tessera.llm.common import table
+from tessera.llm import chat, exact_dedup, fingerprints, mixing, quality, spm
+from tessera.llm.common import crc_mod, table
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,8 +41,29 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.against_edited(table(spark, sf_dir, "documents"))
+
+
+#: The probability of good quality from which a document counts as good.
+GOOD = 0.7
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fitted(docs, table(spark, sf_dir, "labels"))
+    return quality.scores(docs, model, "doc_id").select(
+        "doc_id",
+        (crc_mod("doc_id", 4) == 2).alias("held_out"),
+        "score",
+        (F.col("score") >= GOOD).cast("int").alias("predicted"),
+    )
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op3_fingerprints": op3_fingerprints,
+    "op6_quality": op6_quality,
     "op7_chat": op7_chat,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_sentencepiece": op10_sentencepiece,

@@ -56,12 +56,13 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return offsets - offsets[0], data
 
 
-def slices(offsets: np.ndarray, limit: int = 1 << 22) -> Iterator[tuple[int, int]]:
-    """Runs of rows with at most *limit* bytes, or one row."""
+def slices(offsets: np.ndarray, limit: int = 1 << 21, rows: int = 2048) -> Iterator[tuple[int, int]]:
+    """Runs of at most *rows* rows with at most *limit* bytes, or one row."""
     at, n = 0, len(offsets) - 1
     while at < n:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
-        yield at, min(to, n)
+        to = min(to, n, at + rows)
+        yield at, to
         at = to
 
 
