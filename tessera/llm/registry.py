@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, exact_dedup, fingerprints, mixing, quality, spm
+from tessera.llm import chat, exact_dedup, fingerprints, mixing, quality, spm, token_files
 from tessera.llm.common import crc_mod, table
 
 
@@ -41,6 +41,11 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    return token_files.write_and_read(table(spark, sf_dir, "documents"), vocabulary)
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.against_edited(table(spark, sf_dir, "documents"))
 
@@ -62,6 +67,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_token_files": op2_token_files,
     "op3_fingerprints": op3_fingerprints,
     "op6_quality": op6_quality,
     "op7_chat": op7_chat,
