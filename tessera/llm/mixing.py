@@ -121,6 +121,10 @@ def plan(sizes: DataFrame, mix: Mix = Mix()) -> DataFrame:
     )
 
 
+def _tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def shard_counts(planned: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """``skey, n_blocks, shard, n``: blocks of each source in each output shard, a draw without replacement."""
     chunks = planned.where("n_slots > 0").select(
@@ -131,7 +135,7 @@ def shard_counts(planned: DataFrame, mix: Mix = Mix()) -> DataFrame:
         "all_slots",
         F.explode(F.expr(f"sequence(0L, (n_slots - 1) div {_CHUNK}L)")).alias("_chunk"),
     )
-    entries = chunks.repartition("skey", "_chunk").select(
+    entries = chunks.repartition(_tasks(planned), "skey", "_chunk").select(
         "skey",
         "n_blocks",
         "all_slots",
@@ -152,7 +156,8 @@ def slots(counts: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """``skey, shard, slot, block``: the block in each slot; *slot* numbers a source's slots over all shards."""
     before = Window.partitionBy("skey").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     numbered = counts.withColumn("_from", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long")))
-    each = numbered.select(
+    # A few rows here become very many: they are dealt out before, to a stated number of tasks.
+    each = numbered.repartition(_tasks(counts), "skey", "shard").select(
         "skey", "n_blocks", "shard", F.explode(F.expr("sequence(_from, _from + n - 1)")).alias("slot")
     )
     each = each.withColumn("_pass", F.expr("slot div n_blocks")).withColumn("_k", F.expr("slot % n_blocks"))
@@ -211,7 +216,8 @@ def mix_blocks(docs: DataFrame, mix: Mix = Mix()) -> tuple[DataFrame, DataFrame]
     planned = written(plan(sizes, mix), "mix-plan")
     where = written(placed(sizes, planned, mix), "mix-placed")
     drawn = slots(shard_counts(planned, mix), mix)
-    return where, pieces(where, mix).join(drawn, ["skey", "block"])
+    # Sizes before the explode say nothing of those after it, so the join's strategy is stated.
+    return where, pieces(where, mix).join(drawn.hint("merge"), ["skey", "block"])
 
 
 def taken(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
