@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import exact_dedup, mixing
 from tessera.llm.common import table, written
+from tessera.session import ship_package
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import chat, exact_dedup, fingerprints, mixing, quality, spm, token_files
 from tessera.llm.common import crc_mod, table
+from tessera.session import shipped
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,13 +67,13 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_mixing": op1_mixing,
-    "op2_token_files": op2_token_files,
-    "op3_fingerprints": op3_fingerprints,
-    "op6_quality": op6_quality,
-    "op7_chat": op7_chat,
-    "op8_exact_dedup": op8_exact_dedup,
-    "op10_sentencepiece": op10_sentencepiece,
+    "op1_mixing": shipped(op1_mixing),
+    "op2_token_files": shipped(op2_token_files),
+    "op3_fingerprints": shipped(op3_fingerprints),
+    "op6_quality": shipped(op6_quality),
+    "op7_chat": shipped(op7_chat),
+    "op8_exact_dedup": shipped(op8_exact_dedup),
+    "op10_sentencepiece": shipped(op10_sentencepiece),
 }
 
 ORACLE_SQL = {
