@@ -49,3 +49,24 @@ def text_of(docs: DataFrame, column: str = "text") -> Column:
 def crc_mod(column: str, modulus: int) -> Column:
     """crc32 of the column's decimal text, modulo *modulus*; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, share: int = 1000) -> DataFrame:
+    """Join *rows* to the one row that *groups* has for their *key* (never null), without a task for a hot group's rows.
+
+    *size* counts a group's rows among *total*.  At most *share* groups can hold over a *share*-th of the rows each;
+    those, and no others, are broadcast.  Rows without a group keep nulls.
+    """
+    rest = [c for c in groups.columns if c != key]
+    hot = groups.where(F.col(size) * share > total).select(
+        F.col(key).alias("__hot"), *[F.col(c).alias(f"__hot_{c}") for c in rest]
+    )
+    cold = groups.select(F.col(key).alias("__cold"), *[F.col(c).alias(f"__cold_{c}") for c in rest])
+    filler = F.hex(F.xxhash64(*rows.columns))
+    if dict(groups.dtypes)[key] == "binary":
+        filler = F.unhex(filler)
+    marked = rows.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")
+    marked = marked.withColumn("__key", F.when(F.col("__hot").isNull(), F.col(key)).otherwise(filler))
+    return marked.join(cold, F.col("__key") == F.col("__cold"), "left").select(
+        *rows.columns, *[F.coalesce(f"__hot_{c}", f"__cold_{c}").alias(c) for c in rest]
+    )

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, exact_dedup, fingerprints, mixing, quality, spm, token_files
+from tessera.llm import chat, exact_dedup, fingerprints, mixing, near_dedup, quality, spm, token_files
 from tessera.llm.common import crc_mod, table
 from tessera.session import shipped
 
@@ -31,6 +31,10 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chats(messages))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     encoded = spm.encode(table(spark, sf_dir, "documents"), model, "doc_id")
@@ -73,6 +77,7 @@ QUERIES = {
     "op6_quality": shipped(op6_quality),
     "op7_chat": shipped(op7_chat),
     "op8_exact_dedup": shipped(op8_exact_dedup),
+    "op9_near_dedup": shipped(op9_near_dedup),
     "op10_sentencepiece": shipped(op10_sentencepiece),
 }
 
