@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, exact_dedup, fingerprints, mixing, near_dedup, quality, spm, token_files
+from tessera.llm import chat, exact_dedup, fingerprints, mixing, near_dedup, ngram_lm, quality, spm, token_files
 from tessera.llm.common import crc_mod, table
 from tessera.session import shipped
 
@@ -55,6 +55,12 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.against_edited(table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = ngram_lm.train(docs, crc_mod("doc_id", 7) != 2)
+    return ngram_lm.scores(docs, model, "doc_id").withColumn("held_out", crc_mod("doc_id", 7) == 2)
+
+
 #: The probability of good quality from which a document counts as good.
 GOOD = 0.7
 
@@ -74,6 +80,7 @@ QUERIES = {
     "op1_mixing": shipped(op1_mixing),
     "op2_token_files": shipped(op2_token_files),
     "op3_fingerprints": shipped(op3_fingerprints),
+    "op4_ngram_lm": shipped(op4_ngram_lm),
     "op6_quality": shipped(op6_quality),
     "op7_chat": shipped(op7_chat),
     "op8_exact_dedup": shipped(op8_exact_dedup),
