@@ -237,43 +237,27 @@ def mixed_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """The mix as rows of *docs*: each a document's passage in one slot, with the document's other columns.
 
     ``text`` is the passage with the white space that follows its words; ``n_chars``, where present, is its length.
-    Rows with equal ids and texts differ in their place only; each keeps its own columns if they are equal.
+    Rows with equal sources, ids and texts have their passages cut from one of them.
     """
     names = docs.columns
-    where, mixed = mix_blocks(docs, mix)
+    _, mixed = mix_blocks(docs, mix)
+    key = lambda i, tie, skey: F.concat_ws("|", F.coalesce(i.cast("string"), F.lit("")), tie, skey)
+    skey = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
     texts = docs.select(
         *[F.col(c).alias(f"__c{i}") for i, c in enumerate(names)],
-        F.col("doc_id").alias("__id"),
-        F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("__skey"),
-        F.xxhash64(text_of(docs)).alias("__tie"),
-    ).dropDuplicates(["__skey", "__id", "__tie"])
-    words = F.regexp_extract_all(F.col(f"__c{names.index('text')}"), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
-    # Adjoining passages are cut out of the text once for each document, then joined to the slots.
-    grouped = mixed.groupBy("skey", "doc_id", "tie", "start").agg(
-        F.collect_list(F.struct("piece_from", "piece_words", "shard", "slot")).alias("__pieces")
-    )
-    joined = texts.join(
-        grouped,
-        (F.col("__skey") == F.col("skey")) & F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__tie") == F.col("tie")),
-    ).select(
-        *[f"__c{i}" for i in range(len(names))],
-        F.transform(
-            "__pieces",
-            lambda p: F.named_struct(F.lit("at"), p, F.lit("words"), p["piece_words"]),
-        ).alias("__at"),
-        words.alias("__words"),
+        key(F.col("doc_id"), F.xxhash64(text_of(docs)), skey).alias("__key"),
+    ).dropDuplicates(["__key"])
+    # A document's passages are cut in one row: they hold at most `most` times its words.
+    cuts = mixed.groupBy(key(F.col("doc_id"), F.col("tie"), F.col("skey")).alias("__key")).agg(
+        F.collect_list(F.struct("piece_from", "piece_words")).alias("__cuts")
     )
-    passages = joined.select(
-        *[f"__c{i}" for i in range(len(names))],
-        F.explode(
-            F.transform(
-                "__at",
-                lambda p: F.array_join(
-                    F.slice(F.col("__words"), (p["at"]["piece_from"] + 1).cast("int"), p["words"].cast("int")), ""
-                ),
-            )
-        ).alias("__text"),
+    words = F.regexp_extract_all(F.col(f"__c{names.index('text')}"), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
+    own = [f"__c{i}" for i in range(len(names))]
+    joined = texts.join(cuts.hint("merge"), "__key").select(*own, "__cuts", words.alias("__words"))
+    passage = lambda p: F.array_join(
+        F.slice(F.col("__words"), (p["piece_from"] + 1).cast("int"), p["piece_words"].cast("int")), ""
     )
+    passages = joined.select(*own, F.explode(F.transform("__cuts", passage)).alias("__text"))
     out = []
     for i, c in enumerate(names):
         if c == "text":

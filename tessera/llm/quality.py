@@ -151,25 +151,29 @@ def fitted(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), label: str = "q
     return train(found, fit)
 
 
-def scores(docs: DataFrame, model: tuple[np.ndarray, float], *keep: str, text: str = "text") -> DataFrame:
-    """The columns *keep* of *docs* and ``score``, the probability of class 1."""
+def scores(
+    docs: DataFrame, model: tuple[np.ndarray, float], *keep: str, text: str = "text", score: str = "score"
+) -> DataFrame:
+    """The columns *keep* of *docs* and *score*, the probability of class 1."""
     spark = docs.sparkSession
     # The model's size is fixed by BUCKETS.
     sent = spark.sparkContext.broadcast((model[0].astype(np.float32), model[1]))
-    out = T.StructType([docs.schema[c] for c in keep]).add("score", T.DoubleType(), False)
+    out = T.StructType([docs.schema[c] for c in keep]).add(score, T.DoubleType(), False)
+    held = [] if text in keep else [F.col(text).cast("string").alias("__text")]
+    at = keep.index(text) if text in keep else len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = sent.value
         for batch in batches:
-            offsets, data = textnp.utf8(batch.column(len(keep)))
+            offsets, data = textnp.utf8(batch.column(at))
             for a, b in textnp.slices(offsets):
                 n = b - a
                 logit = np.full(n, bias)
                 for feature, row in features(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]]):
                     count = np.bincount(row, minlength=n)
                     logit += np.bincount(row, weights[feature], minlength=n) / np.maximum(count, 1)
-                score = 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
+                p = 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
                 columns = [batch.column(i).slice(a, n) for i in range(len(keep))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(score, pa.float64())], names=out.names)
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(p, pa.float64())], names=out.names)
 
-    return docs.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(run, out)
+    return docs.select(*keep, *held).mapInArrow(run, out)

@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, exact_dedup, fingerprints, mixing, near_dedup, ngram_lm, quality, spm, token_files
-from tessera.llm.common import crc_mod, table
+from tessera.llm import chat, exact_dedup, fingerprints, merkle, mixing, near_dedup, ngram_lm, quality, spm, token_files
+from tessera.llm.common import crc_mod, table, written
 from tessera.session import shipped
 
 
@@ -61,6 +61,11 @@ def op4_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.scores(docs, model, "doc_id").withColumn("held_out", crc_mod("doc_id", 7) == 2)
 
 
+def op5_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = written(merkle.archive(table(spark, sf_dir, "pages")), "archive")
+    return merkle.audit(records, merkle.damaged(records))
+
+
 #: The probability of good quality from which a document counts as good.
 GOOD = 0.7
 
@@ -81,6 +86,7 @@ QUERIES = {
     "op2_token_files": shipped(op2_token_files),
     "op3_fingerprints": shipped(op3_fingerprints),
     "op4_ngram_lm": shipped(op4_ngram_lm),
+    "op5_warc_fixity": shipped(op5_warc_fixity),
     "op6_quality": shipped(op6_quality),
     "op7_chat": shipped(op7_chat),
     "op8_exact_dedup": shipped(op8_exact_dedup),
@@ -89,6 +95,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op5_warc_fixity": merkle.sql(),
     "op7_chat": chat.sql(),
     "op8_exact_dedup": """
         SELECT doc_id,
