@@ -1,0 +1,21 @@
+"""Expressions over arrays of numbers, and unordered pairs."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def squares(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+
+
+def euclidean(a: Column, b: Column) -> Column:
+    return F.sqrt(squares(a, b))
+
+
+def mahalanobis(a: Column, centre: Column, sigma: Column) -> Column:
+    """Distance in units of *sigma* by dimension; a dimension without spread counts nothing if equal, else as infinite."""
+    gap = F.zip_with(a, centre, lambda x, y: x - y)
+    one = lambda g, s: F.when(s > 0, (g / s) * (g / s)).when(g == 0, F.lit(0.0)).otherwise(F.lit(float("inf")))
+    return F.sqrt(F.aggregate(F.zip_with(gap, sigma, one), F.lit(0.0), lambda s, x: s + x))
