@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: Characters that part words.
 PUNCTUATION = "([,.!?:;])"
@@ -29,7 +30,7 @@ def year_of(date: Column | str) -> Column:
     return F.split(c, "-")[0].cast("int")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def round_half_even_exact(x: pd.Series) -> pd.Series:
     """Round to one digit by the exact binary value, for the few rows of a report."""
     return x.map(lambda v: None if pd.isna(v) else round(v, 1)).astype("float64")

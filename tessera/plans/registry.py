@@ -295,10 +295,10 @@ def user_profile(spark, sf_dir):
 
 
 @query(f"""{_USERS}, nu AS (SELECT lang, count(*) AS n FROM u GROUP BY 1), ni AS (SELECT source, count(*) AS n FROM top GROUP BY 1),
-    both AS (SELECT lang, source, count(*) AS n FROM u JOIN top USING (word) GROUP BY ALL)
-    SELECT lang, source, round(both.n / (sqrt(nu.n) * sqrt(ni.n)), 6) AS sim
-    FROM (SELECT DISTINCT lang, source FROM documents) JOIN both USING (lang, source) JOIN nu USING (lang) JOIN ni USING (source)
-    WHERE both.n / (sqrt(nu.n) * sqrt(ni.n)) >= 0.01""")
+    common AS (SELECT lang, source, count(*) AS n FROM u JOIN top USING (word) GROUP BY ALL)
+    SELECT lang, source, round(common.n / (sqrt(nu.n) * sqrt(ni.n)), 6) AS sim
+    FROM (SELECT DISTINCT lang, source FROM documents) JOIN common USING (lang, source) JOIN nu USING (lang) JOIN ni USING (source)
+    WHERE common.n / (sqrt(nu.n) * sqrt(ni.n)) >= 0.01""")
 def cosine_predict(spark, sf_dir):
     pairs, items, users = _users(spark, sf_dir)
     return content.cosine(pairs.distinct(), users, items, "lang", "source").withColumn("sim", F.round("sim", 6))
