@@ -115,11 +115,12 @@ def differing(one: DataFrame, other: DataFrame, levels: int) -> DataFrame:
     def unequal(a: DataFrame, b: DataFrame) -> DataFrame:
         return a.join(b, "node", "full_outer").where(~F.col("ha").eqNullSafe(F.col("hb")))
 
-    found = unequal(at(one, levels, "ha"), at(other, levels, "hb"))
+    # Each level's few differing nodes are written: the next level refers to them twice.
+    found = written(unequal(at(one, levels, "ha"), at(other, levels, "hb")), "merkle-differing")
     for k in range(levels - 1, -1, -1):
         above = found.select(F.col("node").alias("up"))
         down = lambda nodes, name: at(nodes, k, name).join(above, F.expr(f"node div {FANOUT}") == F.col("up"), "left_semi")  # noqa: B023, E731
-        found = unequal(down(one, "ha"), down(other, "hb"))
+        found = written(unequal(down(one, "ha"), down(other, "hb")), "merkle-differing")
     kind = F.when(F.col("hb").isNull(), "missing").when(F.col("ha").isNull(), "added").otherwise("changed")
     return found.select("node", kind.alias("kind"))
 
