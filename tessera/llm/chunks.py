@@ -2,24 +2,30 @@
 
 Where no token can cross a chunk's border, a text's ids are its chunks' ids in order.  Each batch of texts is cut
 into chunks, the chunks that the worker's table lacks are segmented once, all together, and ids are joined back by
-position.  The table is a cache of fixed size: when full it starts anew, which costs time but changes nothing.
+position.  The table is a cache of fixed size in two halves: when the newer is full it becomes the older, whose chunks
+return as they are met again.  What is forgotten is segmented again, which costs time but changes nothing.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
-#: Entries of a worker's table; some 200 bytes each.
-TABLE_SIZE = 250_000
+#: Entries of a worker's table, beside those of one batch; some 200 bytes each.
+TABLE_SIZE = 400_000
 
 
 class ChunkTable:
     """Maps chunks to values that *segment* makes from a list of distinct chunks."""
 
-    def __init__(self, segment: Callable[[list[str]], Sequence], size: int = TABLE_SIZE):
-        self.segment, self.size, self.known = segment, size, {}
+    def __init__(self, segment: Callable[[list], Sequence], size: int = TABLE_SIZE):
+        self.segment, self.half, self.known, self.older = segment, size // 2, {}, {}
 
-    def look_up(self, texts: list[list[str]]) -> list[list]:
+    def values(self, distinct: list) -> list:
+        """The values of distinct chunks, in order."""
+        self._learn(distinct)
+        return list(map(self.known.__getitem__, distinct))
+
+    def look_up(self, texts: list[list]) -> list[list]:
         """The values of each text's chunks, in order."""
         out = []
         for chunks in texts:
@@ -30,16 +36,22 @@ class ChunkTable:
                 out.append(list(map(self.known.__getitem__, chunks)))
         return out
 
-    def learn(self, texts: list[list[str]]) -> None:
+    def learn(self, texts: list[list]) -> None:
         """Segment what the table lacks of a batch of texts in one go."""
-        distinct: set[str] = set()
+        distinct: set = set()
         for chunks in texts:
             distinct.update(chunks)
         self._learn(distinct)
 
-    def _learn(self, distinct: set[str]) -> None:
-        new = list(distinct - self.known.keys())
-        if len(self.known) + len(new) > self.size:
-            self.known.clear()
+    def _learn(self, distinct: Iterable) -> None:
+        new = [x for x in distinct if x not in self.known]
+        if len(self.known) + len(new) > self.half:
+            self.older, self.known = self.known, {}
             new = list(distinct)
-        self.known.update(zip(new, self.segment(new), strict=True))
+        lacking = []
+        for x in new:
+            if (value := self.older.get(x)) is None:
+                lacking.append(x)
+            else:
+                self.known[x] = value
+        self.known.update(zip(lacking, self.segment(lacking), strict=True))

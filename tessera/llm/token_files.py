@@ -13,20 +13,25 @@ shards in order.  Null texts are empty: they have the end id alone.  Any number
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm import textnp
 from tessera.llm.chunks import ChunkTable
 from tessera.llm.common import new_path, written
 
 SCALE_BITS, LANES, CHECKPOINT, BLOCK_TOKENS = 20, 1024, 128, 1 << 18
+#: Bytes of text cut at a time.
+SLICE_BYTES = 6 << 20
 MAGIC = b"TSR1"
 _U = np.uint64
 _LOW = _U(1 << 31)
@@ -137,15 +142,83 @@ def decode_block(block: bytes, table: FrequencyTable, part: int | None = None) -
     return out
 
 
-#: White space other than these, or runs of it, would let a token of the pre-tokenizer cross a chunk's border.
-_ODD = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]|[ \n]{2}|^[ \n]|[ \n]$")
+_SPACE, _FEED = 32, 10
+_LETTER, _SIGN, _CONTROL, _LEAD = (np.zeros(256, bool) for _ in range(4))
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_SIGN[[*range(33, 39), *range(40, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+_CONTROL[[9, 11, 12, 13, 28, 29, 30, 31]] = True
+#: The UTF-8 of white space beyond ASCII begins with one of these.
+_LEAD[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+
+
+#: Keys joined for one call of the library.
+_CALL_KEYS = 4096
+#: Chunks that the pre-tokenizer cuts in two at most: letters, of blocks that are settled in Unicode, then signs.
+_WORD = re.compile("([ \n]?)([A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f]+)([!-&(-/:-@\\[-`{-~]*)")
+
+
+def _byte_signs() -> dict[int, int]:
+    """The byte-level alphabet: printable Latin-1 signs stand for themselves, other bytes for signs from U+0100 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    rest = [b for b in range(256) if b not in set(own)]
+    return dict(zip(own + rest, own + [256 + i for i in range(len(rest))], strict=True))
+
+
+_SIGNS = _byte_signs()
+_SPACE_SIGN = chr(_SIGNS[32])
+
+
+def _wide_spaces(data: np.ndarray) -> np.ndarray:
+    """Where the UTF-8 of white space beyond ASCII begins."""
+    at = np.flatnonzero(_LEAD[data])
+    if not len(at):
+        return at
+    padded = np.append(data, np.zeros(2, np.uint8))
+    code = (data[at].astype(np.int64) << 16) | (padded[at + 1].astype(np.int64) << 8) | padded[at + 2]
+    two = code >> 8
+    wide = (two == 0xC285) | (two == 0xC2A0) | (code == 0xE19A80) | (code == 0xE2819F) | (code == 0xE38080)
+    wide |= ((code >= 0xE28080) & (code <= 0xE2808A)) | (code == 0xE280A8) | (code == 0xE280A9) | (code == 0xE280AF)
+    return at[wide]
+
+
+def chunk_starts(offsets: np.ndarray, data: np.ndarray, added: list[bytes] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """``(starts, odd)``: where the chunks of all texts begin in *data*, and which texts are one chunk as a whole.
+
+    A chunk begins at a text's start, at each space or line feed, which it holds, and at each ASCII sign but the
+    apostrophe that follows an ASCII letter.  Texts with other white space, with two in a row or with one at an end,
+    and those that hold one of the strings *added*, are not cut.
+    """
+    mark = (data == _SPACE) | (data == _FEED)
+    row = lambda at: np.searchsorted(offsets, at, "right") - 1
+    full = np.diff(offsets) > 0
+    odd = np.zeros(len(full), bool)
+    odd[row(np.flatnonzero(mark[1:] & mark[:-1]))] = True  # two texts' ends count, too, but those are odd anyway
+    odd[full] |= mark[offsets[:-1][full]] | mark[offsets[1:][full] - 1]
+    odd[row(np.flatnonzero(_CONTROL[data]))] = True
+    odd[row(_wide_spaces(data))] = True
+    whole = data.tobytes() if added else b""
+    for x in added:
+        at = whole.find(x)
+        while at >= 0:
+            odd[row(at)] = True
+            at = whole.find(x, at + 1)
+    begins = mark
+    begins[1:] |= _LETTER[data[:-1]] & _SIGN[data[1:]]
+    begins[offsets[:-1][full]] = True
+    starts = np.flatnonzero(begins)
+    if odd.any():
+        first = np.zeros(len(data), bool)
+        first[offsets[:-1][full]] = True
+        starts = starts[~odd[row(starts)] | first[starts]]
+    return starts, odd
 
 
 class ByteTokenizer:
     """A byte-level BPE of the tokenizers library with a table of distinct chunks.
 
-    The pre-tokenizer begins a new token at a single space or line feed, so texts without other white space are cut
-    there; a chunk keeps its space or line feed.  Any other text goes to the library whole.
+    The byte-level pre-tokenizer begins a new token where :func:`chunk_starts` cuts, so a text's ids are its chunks'
+    ids in order.  Of chunks that the table lacks, those it would leave whole go to the library's model alone; others
+    are joined by line feeds (one id that no chunk has) and encoded together.  Tokenizers of another kind get whole texts.
     """
 
     def __init__(self, path: str):
@@ -154,38 +227,95 @@ class ByteTokenizer:
         self.library = Tokenizer.from_file(path)
         self.size = self.library.get_vocab_size()
         self.kind = np.uint16 if self.size <= 1 << 16 else np.uint32
+        told = json.loads(self.library.to_str())
+        kind = told.get("pre_tokenizer") or {}
+        added = told.get("added_tokens") or []
+        feed = self.library.encode("\n", add_special_tokens=False).ids
+        self.chunked = (
+            told.get("normalizer") is None
+            and kind.get("type") == "ByteLevel"
+            and kind.get("use_regex", False)
+            and not kind.get("add_prefix_space", True)
+            and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in added)
+            and len(feed) == 1
+        )
+        self.feed = feed[0] if feed else -1
+        self.added = [t["content"].encode() for t in added]
+        self.tails: dict[str, list[int]] = {}
         self.table = ChunkTable(self._segment)
 
-    def _segment(self, chunks: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(chunks, add_special_tokens=False)
+    def _whole(self, texts: list[bytes]) -> list[bytes]:
+        found = self.library.encode_batch_fast([x.decode() for x in texts], add_special_tokens=False)
         return [np.array(x.ids, self.kind).tobytes() for x in found]
 
-    def encode_batch(self, texts: list[str], end: int) -> list[bytes]:
-        """Each text's ids and the end id, as bytes of ``kind``."""
-        tail = np.array([end], self.kind).tobytes()
-        odd = [bool(_ODD.search(x)) for x in texts]
-        cut = []
-        for x, o in zip(texts, odd, strict=True):
-            if o or not x:
-                cut.append([])
+    def _segment(self, keys: list[bytes]) -> list[bytes]:
+        """The ids of chunks, none of which has white space after its first byte."""
+        out: list[bytes] = [b""] * len(keys)
+        tokenize, tails = self.library.model.tokenize, self.tails
+        feed, kind, plain = np.array([self.feed], self.kind).tobytes(), np.dtype(self.kind).char, []
+        for i, key in enumerate(keys):
+            if not (found := _WORD.fullmatch(key.decode())):
+                plain.append(i)
                 continue
-            # A chunk after a space is known by its word alone; the first of the text has a mark no word can have.
-            parts = x.replace("\n", " \n").split(" ")
-            parts[0] = "\n " + parts[0]
-            cut.append(parts)
-        self._learn(cut)
-        whole = iter(self._segment([x for x, o in zip(texts, odd, strict=True) if o]))
-        return [
-            (next(whole) if o else b"".join(values)) + tail
-            for o, values in zip(odd, self.table.look_up(cut), strict=True)
-        ]
-
-    def _learn(self, cut: list[list[str]]) -> None:
-        self.table.segment = self._segment_keys
-        self.table.learn(cut)
+            lead, word, tail = found.groups()
+            if not word.isascii():
+                word = word.encode().decode("latin-1").translate(_SIGNS)
+            ids = [t.id for t in tokenize(_SPACE_SIGN + word if lead == " " else word)]
+            if tail:
+                if tail not in tails:
+                    if len(tails) > 10_000:
+                        tails.clear()
+                    tails[tail] = [t.id for t in tokenize(tail)]
+                ids += tails[tail]
+            packed = array(kind, ids).tobytes()
+            out[i] = feed + packed if lead == "\n" else packed
+        for at in range(0, len(plain), _CALL_KEYS):
+            part = plain[at : at + _CALL_KEYS]
+            joined = b"".join(b"\n" + (keys[i][1:] if keys[i][0] == _FEED else keys[i]) for i in part)
+            (found,) = self.library.encode_batch_fast([joined.decode()], add_special_tokens=False)
+            ids = np.array(found.ids, self.kind)
+            cuts = np.append(np.flatnonzero(ids == self.feed), len(ids))
+            if len(cuts) != len(part) + 1:
+                raise ValueError("a chunk holds a line feed's id")
+            width, packed = ids.itemsize, ids.tobytes()
+            for i, a, b in zip(part, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                # A chunk that begins with a line feed keeps its id.
+                out[i] = (feed if keys[i][0] == _FEED else b"") + packed[(a + 1) * width : b * width]
+        return out
+
+    def encode_column(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """``(ids, lengths)``: all texts' ids, each text's followed by *end*, and how many each has."""
+        offsets, data = textnp.utf8(texts)
+        n = len(offsets) - 1
+        if self.chunked:
+            starts, odd = chunk_starts(offsets, data, self.added)
+        else:
+            starts, odd = offsets[:-1][np.diff(offsets) > 0], np.ones(n, bool)
+        edges = np.append(starts, len(data))
+        cut = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(data)])
+        coded = cut.dictionary_encode()
+        keys, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        firsts = np.searchsorted(starts, offsets)
+        by_library = set(index[firsts[:-1][odd & (np.diff(firsts) > 0)]].tolist())
+        values: list[bytes] = [b""] * len(keys)
+        others = [i for i in range(len(keys)) if i not in by_library] if by_library else range(len(keys))
+        for i, ids in zip(others, self.table.values([keys[i] for i in others]), strict=True):
+            values[i] = ids
+        for i in by_library:
+            (values[i],) = self._whole([keys[i]])
+        values.append(np.array([end], self.kind).tobytes())
+        # The values of all chunks, and the end after each text's, one after another.
+        chosen = np.insert(index.astype(np.int64), firsts[1:], len(keys))
+        taken = pa.array(values, pa.large_binary()).take(pa.array(chosen))
+        edges = np.frombuffer(taken.buffers()[1], np.int64)[: len(chosen) + 1]
+        ids = np.frombuffer(taken.buffers()[2], self.kind) if n else np.zeros(0, self.kind)
+        ends = edges[firsts[1:] + np.arange(1, n + 1)] // np.dtype(self.kind).itemsize
+        return ids[: ends[-1] if n else 0], np.diff(ends, prepend=0)
 
-    def _segment_keys(self, keys: list[str]) -> list[bytes]:
-        return self._segment([k[2:] if k[:2] == "\n " else k if k[:1] == "\n" else " " + k for k in keys])
+    def encode_batch(self, texts: list[str], end: int) -> list[bytes]:
+        """Each text's ids and the end id, as bytes of ``kind``."""
+        ids, lengths = self.encode_column(pa.array(texts, pa.large_string()), end)
+        return [x.tobytes() for x in np.split(ids, np.cumsum(lengths)[:-1])] if texts else []
 
 
 _TOKENIZERS: dict[str, ByteTokenizer] = {}
@@ -215,7 +345,6 @@ def tokenized(docs: DataFrame, path: str, end: int = 0, text: str = "text") -> D
         from pyspark import TaskContext
 
         own, shard = tokenizer(path), TaskContext.get().partitionId()
-        width = np.dtype(own.kind).itemsize
         block, held, ids, lengths, parts = 0, 0, [], [], []
 
         def out() -> pa.RecordBatch:
@@ -232,15 +361,16 @@ def tokenized(docs: DataFrame, path: str, end: int = 0, text: str = "text") -> D
 
         for batch in batches:
             numbers, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(numbers), 256):
-                for i, coded in zip(numbers[at : at + 256], own.encode_batch(texts.slice(at, 256).to_pylist(), end), strict=True):
-                    n = len(coded) // width
+            for a, b in textnp.slices(textnp.utf8(texts)[0], SLICE_BYTES):
+                flat, counts = own.encode_column(texts.slice(a, b - a), end)
+                ends = np.cumsum(counts)
+                for i, n, to in zip(numbers[a:b], counts.tolist(), ends.tolist(), strict=True):
                     if ids and held + n > BLOCK_TOKENS:
                         yield out()
                         block, held, ids, lengths, parts = block + 1, 0, [], [], []
                     ids.append(i)
                     lengths.append(n)
-                    parts.append(coded)
+                    parts.append(flat[to - n : to].tobytes())
                     held += n
         if ids:
             yield out()
@@ -295,28 +425,29 @@ def read(spark, at: str) -> tuple[DataFrame, np.ndarray]:
     return spark.read.schema(_BLOCKS).parquet(f"{at}/blocks"), counts
 
 
-def _decoded(spark, at: str) -> tuple[DataFrame, DataFrame]:
-    """The documents of each block with their place in it, and how many ids stand before each block."""
+def _decoded(spark, at: str, extra: str, made: Callable[[np.ndarray, np.ndarray], list[pa.Array]]) -> DataFrame:
+    """``doc_id, start`` of each document and the columns *extra*, *made* of a block's ids and its documents' edges."""
     blocks, counts = read(spark, at)
     sent = spark.sparkContext.broadcast(counts)
+    columns = "shard int, block int, doc_id bigint, inner bigint, " + extra
+    names = [c.split()[0] for c in columns.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = FrequencyTable(sent.value)
         for batch in batches:
             for i in range(batch.num_rows):
                 shard, block, doc_ids, lengths, coded = (c[i].as_py() for c in batch.columns)
-                ids = decode_block(coded, table).astype(np.int32)
-                ends = np.cumsum(lengths)
+                edges = np.concatenate([[0], np.cumsum(lengths)])
                 n = len(doc_ids)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([shard] * n, pa.int32()),
-                        pa.array([block] * n, pa.int32()),
+                        pa.array(np.full(n, shard), pa.int32()),
+                        pa.array(np.full(n, block), pa.int32()),
                         pa.array(doc_ids, pa.int64()),
-                        pa.array(ends - lengths, pa.int64()),
-                        pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids)),
+                        pa.array(edges[:-1], pa.int64()),
+                        *made(decode_block(coded, table), edges),
                     ],
-                    names=["shard", "block", "doc_id", "inner", "ids"],
+                    names=names,
                 )
 
     # One row for each block; the window runs within a shard, then over one row for each shard.
@@ -330,36 +461,29 @@ def _decoded(spark, at: str) -> tuple[DataFrame, DataFrame]:
         .join(shards, "shard")
         .select("shard", "block", (F.col("_shard") + F.col("_block")).alias("_before"))
     )
-    decoded = blocks.mapInArrow(run, "shard int, block int, doc_id bigint, inner bigint, ids array<int>")
-    return decoded, offsets
+    decoded = blocks.mapInArrow(run, columns)
+    return decoded.join(offsets, ["shard", "block"]).select("doc_id", (F.col("_before") + F.col("inner")).alias("start"), *names[4:])
 
 
 def documents(spark, at: str) -> DataFrame:
     """Decode a file set: ``doc_id, start, n_tokens, ids`` of each document; *start* counts the ids before it."""
-    decoded, offsets = _decoded(spark, at)
-    return decoded.join(offsets, ["shard", "block"]).select(
-        "doc_id", (F.col("_before") + F.col("inner")).alias("start"), F.size("ids").cast("long").alias("n_tokens"), "ids"
-    )
+
+    def made(ids: np.ndarray, edges: np.ndarray) -> list[pa.Array]:
+        lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids.astype(np.int32)))
+        return [pa.array(np.diff(edges), pa.int64()), lists]
+
+    return _decoded(spark, at, "n_tokens bigint, ids array<int>", made)
 
 
 def digests(spark, at: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of each document, read from a file set."""
-    decoded, offsets = _decoded(spark, at)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(4)
-            flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
-            crc = [zlib.crc32(flat[a:b].astype("<u4").tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:4], pa.array(np.diff(ends), pa.int64()), pa.array(crc, pa.int64())],
-                names=["shard", "block", "doc_id", "inner", "n_tokens", "ids_crc32"],
-            )
+    def made(ids: np.ndarray, edges: np.ndarray) -> list[pa.Array]:
+        packed, at = memoryview(ids.astype("<u4").tobytes()), (edges * 4).tolist()
+        crc = [zlib.crc32(packed[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+        return [pa.array(np.diff(edges), pa.int64()), pa.array(crc, pa.int64())]
 
-    narrow = decoded.mapInArrow(run, "shard int, block int, doc_id bigint, inner bigint, n_tokens bigint, ids_crc32 bigint")
-    return narrow.join(offsets, ["shard", "block"]).select(
-        "doc_id", (F.col("_before") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32"
-    )
+    return _decoded(spark, at, "n_tokens bigint, ids_crc32 bigint", made)
 
 
 def write_and_read(docs: DataFrame, path: str, end: int = 0) -> DataFrame:
