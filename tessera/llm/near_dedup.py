@@ -12,9 +12,11 @@ runs.  A pair at likeness 0.8 is missed by all sketches with a probability below
 
 Verification.  Equal texts are one node.  In each bucket one member, the same in most of a group's buckets, is
 aligned with all others (a star), in all buckets at once; classes of the links found are formed, and further stars
-around other members join what still differs.  What remains, pairs of different classes that share two buckets, is
-aligned pair by pair.  Thus large groups of copies take a few stars, not all pairs, and no link between classes among
-the candidates is left out, but for pairs at the threshold that share one sketch only (below 1 in 1,000).
+around other members join what still differs.  What remains are different classes in one bucket: their members are
+grouped by every two buckets they share, and aligned pair by pair in groups of up to ``SMALL``, with ``LEADERS``
+members, drawn anew for each group, in larger ones.  So work grows with the members, not their pairs.  Left out are
+pairs at the threshold that share one sketch only (below 1 in 1,000), and links between members of large groups in
+which neither is ever a leader and no chain of other links joins them.
 
 A link needs n1 + n2 - 2m <= (n1 + n2) / 9, so only runs at most that far apart can be matched: the alignment is
 restricted to that band, and computed on the bits of long integers after common ends are cut off.
@@ -38,6 +40,8 @@ from tessera.llm.components import components
 WORDS, SKETCHES, TAKE, SHORT_TAKE = 5, 32, 6, 2
 LONG_FROM, SHORT_TO = 16, 24
 STARS = 5
+#: Members of a group by two buckets that are aligned pair by pair; leaders of the stars of a larger one.
+SMALL, LEADERS = 8, 3
 _U = np.uint64
 _rng = np.random.default_rng(77)
 _ODD = _rng.integers(1, 1 << 63, (SKETCHES, 2), dtype=np.uint64) * _U(2) + _U(1)
@@ -223,6 +227,30 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _by_two(open_: DataFrame) -> DataFrame:
+    """``a, b`` of nodes of different classes in one group by two buckets: all pairs of a small group, stars of a large one."""
+    lists = open_.groupBy("node", "label").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    twos = written(
+        lists.select("node", "label", F.explode("keys").alias("k1"), "keys").select(
+            "node", "label", "k1", F.explode(F.filter("keys", lambda k: k > F.col("k1"))).alias("k2")
+        ),
+        "near-twos",
+    )
+    head = lambda i: F.min(F.struct(F.xxhash64("node", "k1", "k2", F.lit(i)).alias("h"), "node", "label"))
+    groups = (
+        twos.groupBy("k1", "k2")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.array(*[head(i) for i in range(LEADERS)]).alias("heads"))
+        .where("lo <> hi")
+        .select("k1", "k2", "n", "heads")
+    )
+    groups = written(groups, "near-groups")
+    few = twos.join(groups.where(F.col("n") <= SMALL).select("k1", "k2"), ["k1", "k2"], "left_semi")
+    held = few.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("node", "label"))).alias("m"))
+    small = held.select(F.explode("m").alias("x"), "m").select("x", F.explode(F.filter("m", lambda y: (y["node"] > F.col("x.node")) & (y["label"] != F.col("x.label")))).alias("y"))
+    large = twos.join(groups.where(F.col("n") > SMALL), ["k1", "k2"]).select("node", "label", F.explode(F.array_distinct("heads")).alias("h")).where("label <> h.label")
+    return small.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).unionByName(large.select(F.col("h.node").alias("a"), F.col("node").alias("b")))
+
+
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(a, b, m, linked)`` of all node pairs aligned, and ``(node, label)``: the classes of linked nodes."""
     keyed = written(_keys(docs), "near-keys")
@@ -283,14 +311,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             )
             pairs = open_.join(heads, "key").where("label <> t.label").select(F.col("t.node").alias("a"), F.col("node").alias("b"))
         else:
-            # Pairs of classes that share two buckets: grouped by both.
-            lists = open_.groupBy("node", "label").agg(F.sort_array(F.collect_set("key")).alias("keys"))
-            twos = lists.select(
-                "node", "label", F.explode("keys").alias("k1"), "keys"
-            ).select("node", "label", "k1", F.explode(F.filter("keys", lambda k: k > F.col("k1"))).alias("k2"))
-            left = twos.select("k1", "k2", F.col("node").alias("a"), F.col("label").alias("la"))
-            right = twos.select("k1", "k2", F.col("node").alias("b"), F.col("label").alias("lb"))
-            pairs = left.join(right, ["k1", "k2"]).where("a < b AND la <> lb").select("a", "b")
+            pairs = _by_two(open_)
         new = align_new(pairs)
         tested = tested.unionByName(new)
         if not new.where("linked").isEmpty():
