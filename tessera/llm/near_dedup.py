@@ -8,15 +8,18 @@ connected components of links.  Texts without words are alike only when equal.
 Candidates.  Each run is labelled with its occurrence number in the text.  A sketch takes the ``TAKE`` runs with the
 smallest hashes under one permutation and keeps their text order; texts with equal sketches share a bucket.  There are
 ``SKETCHES`` permutations.  Texts of up to ``SHORT_TO`` runs also (those below ``LONG_FROM`` only) have sketches of two
-runs.  A pair at likeness 0.8 is missed by all sketches with a probability below 1e-4.
+runs.  A pair at the threshold shares no sketch, and may be missed, with a probability of up to 3.7e-4 where the longer text
+has 25 to 40 runs (2.7e-4 for two texts of 27, with 24 runs in common of 30), 1.6e-4 at 41 to 64, 1.2e-4 at 65 to 130
+and below 1e-4 otherwise.
 
 Verification.  Equal texts are one node.  In each bucket one member, the same in most of a group's buckets, is
 aligned with all others (a star), in all buckets at once; classes of the links found are formed, and further stars
-around other members join what still differs.  What remains are different classes in one bucket: their members are
-grouped by every two buckets they share, and aligned pair by pair in groups of up to ``SMALL``, with ``LEADERS``
-members, drawn anew for each group, in larger ones.  So work grows with the members, not their pairs.  Left out are
-pairs at the threshold that share one sketch only (below 1 in 1,000), and links between members of large groups in
-which neither is ever a leader and no chain of other links joins them.
+around other members join what still differs.  What remains are buckets of several classes.  All their members are
+taken together, whatever buckets they share, and no pair is left out but by proof: a link needs 4/5 of either text's
+runs in common, so texts with too few runs held by another class have none, and two texts without a common run among
+the rarest of these have none (families are the components of such runs).  In a family, dealt to pairs of blocks,
+runs in common are counted for all pairs, and those with enough are aligned unless links found have joined their classes.
+That count grows with the square of a family, in blocks; the rows dealt with its square over ``BLOCK``.
 
 A link needs n1 + n2 - 2m <= (n1 + n2) / 9, so only runs at most that far apart can be matched: the alignment is
 restricted to that band, and computed on the bits of long integers after common ends are cut off.
@@ -27,6 +30,7 @@ Null texts are empty.  Classes are named by their least ``doc_id``; rows may rep
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +44,8 @@ from tessera.llm.components import components
 WORDS, SKETCHES, TAKE, SHORT_TAKE = 5, 32, 6, 2
 LONG_FROM, SHORT_TO = 16, 24
 STARS = 5
-#: Members of a group by two buckets that are aligned pair by pair; leaders of the stars of a larger one.
-SMALL, LEADERS = 8, 3
+#: Members, and runs of all members, of the blocks a family is dealt to; runs compared at a time.
+BLOCK, BLOCK_RUNS, COLUMNS = 256, 200_000, 2048
 _U = np.uint64
 _rng = np.random.default_rng(77)
 _ODD = _rng.integers(1, 1 << 63, (SKETCHES, 2), dtype=np.uint64) * _U(2) + _U(1)
@@ -227,28 +231,153 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _by_two(open_: DataFrame) -> DataFrame:
-    """``a, b`` of nodes of different classes in one group by two buckets: all pairs of a small group, stars of a large one."""
-    lists = open_.groupBy("node", "label").agg(F.sort_array(F.collect_set("key")).alias("keys"))
-    twos = written(
-        lists.select("node", "label", F.explode("keys").alias("k1"), "keys").select(
-            "node", "label", "k1", F.explode(F.filter("keys", lambda k: k > F.col("k1"))).alias("k2")
-        ),
-        "near-twos",
-    )
-    head = lambda i: F.min(F.struct(F.xxhash64("node", "k1", "k2", F.lit(i)).alias("h"), "node", "label"))
-    groups = (
-        twos.groupBy("k1", "k2")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.array(*[head(i) for i in range(LEADERS)]).alias("heads"))
+def _labelled_short(runs: bytes) -> np.ndarray:
+    """32-bit runs with their occurrence numbers below them, in text order."""
+    x = np.frombuffer(runs, "<u4")
+    order = np.argsort(x, kind="stable")
+    at = np.arange(len(x))
+    same = np.zeros(len(x), bool)
+    same[1:] = x[order][1:] == x[order][:-1]
+    number = np.empty(len(x), np.uint64)
+    number[order] = at - np.maximum.accumulate(np.where(same, 0, at))
+    return x.astype(np.uint64) << _U(32) | number
+
+
+def _tokens(nodes: DataFrame) -> DataFrame:
+    """``id, label, token``: the labelled runs of *nodes*."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [_labelled_short(x) for x in batch.column(2).to_pylist()]
+            for x in range(0, len(made), 512):
+                part = made[x : x + 512]
+                at = pa.array(np.repeat(np.arange(x, x + len(part)), [len(m) for m in part]))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(part).view(np.int64))], names=["id", "label", "token"]
+                )
+
+    return nodes.select("id", "label", "runs").mapInArrow(run, "id bigint, label binary, token bigint")
+
+
+def _families(nodes: DataFrame) -> DataFrame:
+    """``id, family``: nodes that can have a link to another class; both ends of any such link are in one family.
+
+    A link takes 4/5 of either text's runs, all of them held by two classes.  Of a text's *k* such runs, ranked from
+    rare to common, one of the first k - t + 1 is in common with a partner that shares t or more.
+    """
+    tokens = _tokens(nodes)
+    shared = (
+        tokens.groupBy("token")
+        .agg(F.count(F.lit(1)).alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi"))
         .where("lo <> hi")
-        .select("k1", "k2", "n", "heads")
+        .select("token", "df")
+    )
+    ranked = tokens.join(shared, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("held"))
+    least = F.floor((F.col("n") * 4 + 4) / 5).cast("int")
+    heads = written(
+        ranked.join(nodes.select("id", "label", "n"), "id")
+        .where(F.size("held") >= least)
+        .select("id", "label", F.explode(F.slice(F.col("held")["token"], F.lit(1), F.size("held") - least + 1)).alias("token")),
+        "near-heads",
     )
-    groups = written(groups, "near-groups")
-    few = twos.join(groups.where(F.col("n") <= SMALL).select("k1", "k2"), ["k1", "k2"], "left_semi")
-    held = few.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("node", "label"))).alias("m"))
-    small = held.select(F.explode("m").alias("x"), "m").select("x", F.explode(F.filter("m", lambda y: (y["node"] > F.col("x.node")) & (y["label"] != F.col("x.label")))).alias("y"))
-    large = twos.join(groups.where(F.col("n") > SMALL), ["k1", "k2"]).select("node", "label", F.explode(F.array_distinct("heads")).alias("h")).where("label <> h.label")
-    return small.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).unionByName(large.select(F.col("h.node").alias("a"), F.col("node").alias("b")))
+    tops = heads.groupBy("token").agg(F.min("id").alias("b"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token", "b")
+    edges = written(heads.join(tops, "token").select(F.col("id").alias("a"), "b").distinct(), "near-edges")
+    return components(edges).select(F.col("node").alias("id"), F.col("label").alias("family"))
+
+
+def _within(rows: list[tuple]) -> list[tuple[bytes, bytes, int, bool]]:
+    """The pairs aligned of ``(side, node, label, runs)``: all that can be linked and whose classes still differ.
+
+    Rows of side 0 are paired with those of side 1; if there are none, with each other.
+    """
+    root: dict[bytes, bytes] = {}
+
+    def find(x: bytes) -> bytes:
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = up
+        return x
+
+    rows = sorted(rows, key=lambda r: r[0])
+    cut = sum(r[0] == 0 for r in rows)
+    cross = 0 < cut < len(rows)
+    first, second = (np.arange(cut), np.arange(cut, len(rows))) if cross else (np.arange(len(rows)),) * 2
+    runs = [np.frombuffer(r[3], "<u4") for r in rows]
+    sizes = np.array([len(x) for x in runs])
+    _, klass = np.unique(np.array([r[2].hex() for r in rows]), return_inverse=True)
+    # Runs in common without regard to order bound those of any alignment.
+    token, at = np.unique(np.concatenate([_labelled_short(r[3]) for r in rows]), return_inverse=True)
+    owner = np.repeat(np.arange(len(rows)), sizes)
+    held = np.bincount(at, minlength=len(token)) > 1
+    place = np.cumsum(held) - 1
+    owner, column = owner[held[at]], place[at[held[at]]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    overlap = np.zeros((len(first), len(second)), np.float32)
+    for low in range(0, int(held.sum()), COLUMNS):
+        x, y = np.searchsorted(column, [low, low + COLUMNS])
+        bits = np.zeros((len(rows), COLUMNS), np.float32)
+        bits[owner[x:y], column[x:y] - low] = 1
+        overlap += bits[first] @ bits[second].T
+    may = (9 * overlap >= 4 * (sizes[first][:, None] + sizes[second])) & (klass[first][:, None] != klass[second])
+    if not cross:
+        may = np.triu(may, 1)
+    out = []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(may)), strict=True):
+        i, j = int(first[i]), int(second[j])
+        one, other = find(rows[i][2]), find(rows[j][2])
+        if one != other:
+            yes, m = linked(runs[i], runs[j])
+            if yes:
+                root[one] = other
+            out.append((min(rows[i][1], rows[j][1]), max(rows[i][1], rows[j][1]), m, yes))
+    return out
+
+
+def _rest(open_: DataFrame, runs: DataFrame) -> DataFrame:
+    """``a, b, m, linked``: links enough to join all classes that links between the nodes of *open_* join, and other pairs aligned."""
+    nodes = written(
+        open_.select("node", "label")
+        .distinct()
+        .join(runs, "node")
+        .select(F.monotonically_increasing_id().alias("id"), "node", "label", "runs", (F.length("runs") / 4).cast("long").alias("n")),
+        "near-open",
+    )
+    held = written(nodes.join(_families(nodes), "id"), "near-families")
+    sizes = held.groupBy("family").agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_RUNS)).cast("int").alias("blocks"),
+    )
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = (
+        held.join(sizes, "family")
+        .select("family", own.alias("own"), "node", "label", "runs", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        .select(
+            F.struct("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).alias("pair"),
+            (F.col("own") > F.col("other")).cast("int").alias("side"),
+            "node",
+            "label",
+            "runs",
+        )
+        .select(F.col("pair.family").alias("f"), F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), "side", "node", "label", "runs")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for (_, i, j), group in groupby(rows, lambda r: r[:3]):
+            members = [r[3:] for r in group]
+            # Of two blocks, one may have no members.
+            if len(members) < 2 or (i != j and len({r[0] for r in members}) < 2):
+                continue
+            found = _within(members)
+            if found:
+                a, b, m, yes = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(m, pa.int64()), pa.array(yes, pa.bool_())], names=["a", "b", "m", "linked"]
+                )
+
+    tasks = max(int(open_.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    grouped = dealt.repartition(tasks, "f", "i", "j").sortWithinPartitions("f", "i", "j")
+    return written(grouped.mapInArrow(run, "a binary, b binary, m bigint, linked boolean"), "near-tested")
 
 
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -309,10 +438,9 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             heads = written(
                 open_.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(star)).alias("h"), "node", "label")).alias("t")), "near-heads"
             )
-            pairs = open_.join(heads, "key").where("label <> t.label").select(F.col("t.node").alias("a"), F.col("node").alias("b"))
+            new = align_new(open_.join(heads, "key").where("label <> t.label").select(F.col("t.node").alias("a"), F.col("node").alias("b")))
         else:
-            pairs = _by_two(open_)
-        new = align_new(pairs)
+            new = _rest(open_, runs)
         tested = tested.unionByName(new)
         if not new.where("linked").isEmpty():
             labels = merged(labels, new)

@@ -100,3 +100,28 @@ def test_components(spark):
     rows = components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {r.node: r.label for r in rows} == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 200: 200}
     assert components(spark.createDataFrame([], "a long, b long")).where(F.col("label").isNotNull()).collect() == []
+
+
+def _clump(pairs):
+    """Variants of one text that is not there: each pair lacks the same 11 of its 100 runs (likeness 89/111), no two others do."""
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(10**7)}" for _ in range(104)]
+    rows = []
+    for i, (x, y) in enumerate(rng.sample([(x, y) for x in range(5, 90) for y in range(x + 8, 95)], pairs)):
+        for k in (0, 1):
+            own = list(base)
+            for at in (x, y, y + 1):
+                own[at] = f"v{rng.randrange(10**9)}"
+            rows.append((10_000 * k + i, " ".join(own)))
+    return rows
+
+
+def test_links_inside_a_large_clump_are_found(spark):
+    found = _check(spark.createDataFrame(_clump(300), "doc_id long, text string"))
+    assert {r.class_size for r in found} == {2} and sum(r.kept for r in found) == 300
+
+
+def test_a_family_is_compared_across_its_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 20)
+    monkeypatch.setattr(near_dedup, "COLUMNS", 64)
+    _check(spark.createDataFrame(_clump(60), "doc_id long, text string"))
