@@ -125,3 +125,17 @@ def test_a_family_is_compared_across_its_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 20)
     monkeypatch.setattr(near_dedup, "COLUMNS", 64)
     _check(spark.createDataFrame(_clump(60), "doc_id long, text string"))
+
+
+def test_the_last_stage_needs_no_second_bucket(spark):
+    rng = random.Random(14)
+    rows = []
+    for i in range(200):
+        own = [f"w{rng.randrange(10**7)}" for _ in range(31)]
+        rows += [(f"a{i:03}", own), (f"b{i:03}", ["x", "y", "z", *own[3:]])]
+    runs, firsts = near_dedup.runs_of(*textnp.utf8(pa.array([" ".join(t) for _, t in rows], pa.large_string())))
+    short = [(runs[x:y] >> np.uint64(32)).astype("<u4").tobytes() for x, y in zip(firsts[:-1], firsts[1:], strict=True)]
+    held = spark.createDataFrame([(bytearray(n, "ascii"), bytearray(x)) for (n, _), x in zip(rows, short, strict=True)], "node binary, runs binary")
+    # Each pair has 24 of 27 runs in common; every text stands in one mixed bucket only.
+    found = near_dedup._rest(held.select(F.lit(1).cast("long").alias("key"), "node", F.col("node").alias("label")), held).where("linked").collect()
+    assert sorted((bytes(r.a), bytes(r.b), r.m) for r in found) == [(b"a%03d" % i, b"b%03d" % i, 24) for i in range(200)]
