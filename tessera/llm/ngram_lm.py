@@ -100,9 +100,12 @@ _PACKED = ["bucket", "contexts", "sizes", "words", "counts"]
 def _packed(context: np.ndarray, token: np.ndarray, buckets: int) -> pa.RecordBatch:
     """One row for each bucket: its pairs, counted, grouped by context."""
     names, inverse = np.unique(context, return_inverse=True)
-    pair, count = np.unique((inverse.astype(np.uint64) << _U(44)) | (token >> _PART), return_counts=True)
-    owner = (pair >> _U(44)).astype(np.int64)
-    word, sizes = pair & _U((1 << 44) - 1), np.bincount(owner, minlength=len(names))
+    if len(names) <= 1 << 20:
+        pair, count = np.unique((inverse.astype(np.uint64) << _U(44)) | (token >> _PART), return_counts=True)
+        owner, word = (pair >> _U(44)).astype(np.int64), pair & _U((1 << 44) - 1)
+    else:  # the contexts' numbers do not fit beside the words
+        owner, word, count = _merge(inverse, token >> _PART, np.ones(len(token), np.int64))
+    sizes = np.bincount(owner, minlength=len(names))
     bucket = bucket_of(names, buckets)
     found, first = np.unique(bucket, return_index=True)
     first = np.append(first, len(names))

@@ -2,6 +2,7 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from tessera.llm import ngram_lm
@@ -45,3 +46,12 @@ def test_model_of_nothing(odd, none):
     empty = ngram_lm.train(none, none.doc_id >= 0)
     assert (empty.train_tokens, empty.vocabulary) == (0, 0)
     assert {r.score for r in ngram_lm.scores(odd, empty, "doc_id").collect()} == {0.0}
+
+
+def test_a_chunk_of_over_a_million_contexts():
+    n = (1 << 20) + 1000
+    context, token = np.arange(n, dtype=np.uint64) << np.uint64(40), np.full(n, 7 << 20, np.uint64)
+    packed = ngram_lm._packed(context, token, 1).to_pylist()
+    assert len(packed) == 1
+    assert (np.frombuffer(packed[0]["sizes"], "<u4") == 1).all() and len(packed[0]["contexts"]) == 8 * n
+    assert len(packed[0]["counts"]) == 4 * n and (np.frombuffer(packed[0]["counts"], "<u4") == 1).all()
