@@ -126,16 +126,18 @@ def differing(one: DataFrame, other: DataFrame, levels: int) -> DataFrame:
 
 
 def audit(records: DataFrame, replica: DataFrame) -> DataFrame:
-    """``page_id, file, seq, start_offset, length, record_sha256, status`` of every record of the first replica."""
+    """``page_id, file, seq, start_offset, length, record_sha256, status`` of every record of the first replica, and of those only the other holds (``added``)."""
     places, levels = shape(records, replica)
     bad = differing(tree(records, places, levels), tree(replica, places, levels), levels)
-    every = records.select(
-        "page_id", "file", "seq", "start_offset", "length", F.sha2("record", 256).alias("record_sha256"),
-        (F.col("file") * places + F.col("seq")).alias("node"),
-    )
-    return every.join(bad, "node", "left").select(
-        "page_id", "file", "seq", "start_offset", "length", "record_sha256", F.coalesce("kind", F.lit("intact")).alias("status")
-    )
+    told = ["page_id", "file", "seq", "start_offset", "length", "record_sha256"]
+
+    def every(held: DataFrame) -> DataFrame:
+        node = (F.col("file") * places + F.col("seq")).alias("node")
+        return held.select(*told[:-1], F.sha2("record", 256).alias("record_sha256"), node)
+
+    own = every(records).join(bad, "node", "left").select(*told, F.coalesce("kind", F.lit("intact")).alias("status"))
+    added = every(replica).join(bad.where(F.col("kind") == "added"), "node").select(*told, F.col("kind").alias("status"))
+    return own.unionByName(added)
 
 
 def damaged(records: DataFrame) -> DataFrame:

@@ -87,3 +87,13 @@ def test_audit_of_empty_replicas(spark):
     one = merkle.archive(spark.createDataFrame([(1, "u", "h", 0, 0, 0)], PAGES))
     assert merkle.audit(none, none).collect() == []
     assert [r.status for r in merkle.audit(one, none).collect()] == ["missing"]
+
+
+def test_audit_reports_records_only_the_other_replica_holds(spark):
+    none = merkle.archive(spark.createDataFrame([], PAGES))
+    some = merkle.archive(spark.createDataFrame([(i, "u", "h", 0, 0, 0) for i in range(40)], PAGES)).cache()
+    place = lambda rows: sorted((r.page_id, r.file, r.seq, r.start_offset, r.length) for r in rows)
+    found = merkle.audit(none, some).collect()
+    assert {r.status for r in found} == {"added"} and place(found) == place(some.collect())
+    part = some.where("page_id NOT IN (3, 4)")
+    assert Counter(r.status for r in merkle.audit(part, some).collect()) == {"intact": 38, "added": 2}
