@@ -41,11 +41,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SentencePiece ids of every passage, with the end id."""
+    """SentencePiece ids of every passage, with the end id, and the digest of the text they decode to."""
     ship_package(spark)
     kept = ["doc_id", "lang", "source", "n_chars"]
-    encoded = spm.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), *kept, decode=False)
-    return encoded.select(*kept, F.size("ids").cast("long").alias("n_tokens"), "ids")
+    encoded = spm.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), *kept)
+    return encoded.select(*kept, F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [

@@ -1,3 +1,5 @@
+import hashlib
+
 import corpus_pipeline
 from test_near_dedup import _clump
 
@@ -6,3 +8,11 @@ def test_near_copies_in_a_clump_leave_one_of_each_pair(spark):
     docs = spark.createDataFrame(_clump(300), "doc_id long, text string")
     stays = corpus_pipeline.drop_near_copies(spark, docs, "").collect()
     assert sorted(r.doc_id for r in stays) == list(range(300))
+
+
+def test_passages_are_decoded(odd, spark):
+    # The library decodes its mark as a space.
+    texts = [(r.text or "").replace("\u2581", " ") for r in odd.collect()]
+    found = corpus_pipeline.encode(spark, odd, "").collect()
+    assert sorted(r.decoded_sha256 for r in found) == sorted(hashlib.sha256(t.encode()).hexdigest() for t in texts)
+    assert all(r.n_tokens == len(r.ids) for r in found)
