@@ -12,6 +12,7 @@ columns, ids and repeated rows are left as they are.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,17 +21,18 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tessera.llm import textnp
 from tessera.llm.chunks import ChunkTable
 
 MARK = "▁"
 _GENERAL = re.compile(f"{MARK}+[^{MARK}\n]*|\n[^{MARK}\n]*|[^{MARK}\n]+")
-_UNEVEN = re.compile(f"  | \n|^ | $|{MARK}|^\n")
-#: Characters of text segmented at a time.
-BATCH_CHARS = 1 << 20
+_MARK_BYTES = MARK.encode()
+#: Bytes of text segmented at a time.
+SLICE_BYTES = 4 << 20
 
 
 class Codec:
-    """A SentencePiece model with its chunk table.  A table value is (ids as int32 bytes, decoded text)."""
+    """A SentencePiece model with its chunk table.  A table value is (ids as int32 bytes, decoded text in UTF-8)."""
 
     def __init__(self, model: str):
         self.sp = sp = sentencepiece.SentencePieceProcessor(model_file=model)
@@ -45,46 +47,95 @@ class Codec:
         self.probe = sp.encode("a")
         self.table = ChunkTable(self._segment)
 
-    def _segment(self, chunks: list[str]) -> list[tuple[bytes, str]]:
-        """*chunks* begin with a mark or a line feed; a library call puts one mark before its text."""
+    def _segment(self, keys: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """The ids and the decoded text of keys of the table: chunks as they stand in texts, the first of a text without its mark."""
         out = []
-        marked = [c[0] == MARK for c in chunks]
-        ids = self.sp.encode([c[1:] if m else c for c, m in zip(chunks, marked, strict=True)], num_threads=1)
-        for i, m, c in zip(range(len(ids)), marked, chunks, strict=True):
-            if not m:
+        chunks = [k.decode().replace(" ", MARK) for k in keys]
+        first = [c[0] not in (MARK, "\n") for c in chunks]
+        # A library call puts one mark before its text, as it does before a text's first chunk.
+        ids = self.sp.encode([c[1:] if c[0] == MARK else c for c in chunks], num_threads=1)
+        for i, c in enumerate(chunks):
+            if c[0] == "\n":
                 ids[i] = ids[i][1:]
             elif c == MARK:
                 ids[i] = [self.sp.piece_to_id(MARK)]
         said = self.sp.decode([self.probe + x for x in ids], num_threads=1)
-        for x, text in zip(ids, said, strict=True):
-            out.append((np.array(x, np.int32).tobytes(), text[1:]))
+        for x, text, f in zip(ids, said, first, strict=True):
+            out.append((array("i", x).tobytes(), text[1 + f :].encode()))
         return out
 
-    def chunks(self, text: str) -> list[str]:
-        """The marked words of a text that is not empty."""
-        if _UNEVEN.search(text):
-            return _GENERAL.findall(MARK + text.replace(" ", MARK))
-        parts = text.replace("\n", " \n").split(" ")
-        return [p if p[:1] == "\n" else MARK + p for p in parts]
-
-    def encode_batch(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
-        """Of each text, its ids with the end id as int32 bytes, and what they decode to."""
-        end = np.array([self.eos], np.int32).tobytes()
+    def _whole(self, text: str) -> tuple[bytes, bytes]:
+        """The ids, without the end, and the decoded text of a text that is not cut in bulk."""
         if not self.chunked:
-            ids = [[*x, self.eos] for x in self.sp.encode(texts, num_threads=1)]
-            return [np.array(x, np.int32).tobytes() for x in ids], [self.sp.decode(x) for x in ids]
-        cut = [self.chunks(x) if x else [] for x in texts]
-        self.table.learn(cut)
-        ids, said = [], []
-        for values in self.table.look_up(cut):
-            if values:
-                a, b = zip(*values, strict=True)
-                ids.append(b"".join(a) + end)
-                said.append("".join(b)[1:])
-            else:
-                ids.append(end)
-                said.append("")
-        return ids, said
+            ids = self.sp.encode(text, num_threads=1)
+            return array("i", ids).tobytes(), self.sp.decode(ids).encode()
+        first, *rest = _GENERAL.findall(MARK + text.replace(" ", MARK))
+        # The table knows a text's first chunk without its mark; where that leaves nothing or a mark, its ids are told apart.
+        own = first[1:] if first[1:] and first[1] != MARK else first
+        found = self.table.values(list(dict.fromkeys(c.encode() for c in [own, *rest])))
+        known = dict(zip(dict.fromkeys([own, *rest]), found, strict=True))
+        said = known[own][1] if own != first else known[own][1][1:]
+        values = [known[c] for c in rest]
+        return known[own][0] + b"".join(v[0] for v in values), said + b"".join(v[1] for v in values)
+
+    def encode_column(self, texts: pa.Array) -> tuple[pa.ListArray, pa.StringArray]:
+        """Of each text, its ids with the end id, and what they decode to."""
+        offsets, data = textnp.utf8(texts)
+        n = len(offsets) - 1
+        starts, odd = chunk_starts(offsets, data) if self.chunked else (offsets[:-1][np.diff(offsets) > 0], np.diff(offsets) > 0)
+        edges = np.append(starts, len(data)).astype(np.int64)
+        cut = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(data)])
+        coded = cut.dictionary_encode()
+        keys, index = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        firsts = np.searchsorted(starts, offsets)
+        # Texts taken whole have entries of their own: their bytes may equal a chunk's.
+        alone = firsts[:-1][odd]
+        plain = np.ones(len(index), bool)
+        plain[alone] = False
+        used = np.unique(index[plain])
+        values: list[tuple[bytes, bytes]] = [(b"", b"")] * len(keys)
+        for i, value in zip(used.tolist(), self.table.values([keys[i] for i in used]), strict=True):
+            values[i] = value
+        for at in alone.tolist():
+            values.append(self._whole(keys[index[at]].decode()))
+        index[alone] = len(keys) + np.arange(len(alone))
+        ids, said = (pa.array(x, pa.large_binary()) for x in zip(*values, (array("i", [self.eos]).tobytes(), b""), strict=True))
+        # The values of all chunks, and the end after each text's, one after another.
+        chosen = pa.array(np.insert(index, firsts[1:], len(values)))
+        ends = firsts[1:] + np.arange(1, n + 1)
+        edges_of = lambda taken: np.insert(np.frombuffer(taken.buffers()[1], np.int64)[ends], 0, 0)
+        flat, text = ids.take(chosen), said.take(chosen)
+        lists = pa.ListArray.from_arrays(
+            pa.array((edges_of(flat) // 4).astype(np.int32)), pa.array(np.frombuffer(flat.buffers()[2], np.int32)[: edges_of(flat)[-1] // 4])
+        )
+        decoded = pa.StringArray.from_buffers(n, pa.py_buffer(edges_of(text).astype(np.int32)), text.buffers()[2] or pa.py_buffer(b""))
+        return lists, decoded
+
+
+def chunk_starts(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(starts, odd)``: where the chunks of all texts begin in *data*, and which texts are one chunk as a whole.
+
+    A chunk begins at a text's start, at each run of spaces and at each line feed.  Texts that begin with a space or a
+    line feed, and those that hold the mark itself, are not cut.
+    """
+    space, full = data == 32, np.diff(offsets) > 0
+    begins = space.copy()
+    begins[1:] &= ~space[:-1]
+    begins |= data == 10
+    heads = offsets[:-1][full]
+    odd = np.zeros(len(full), bool)
+    odd[full] = space[heads] | (data[heads] == 10)
+    sign = np.flatnonzero(data == _MARK_BYTES[0])
+    sign = sign[sign + 2 < len(data)]
+    sign = sign[(data[sign + 1] == _MARK_BYTES[1]) & (data[sign + 2] == _MARK_BYTES[2])]
+    odd[np.searchsorted(offsets, sign, "right") - 1] = True
+    begins[heads] = True
+    starts = np.flatnonzero(begins)
+    if odd.any():
+        head = np.zeros(len(data), bool)
+        head[heads] = True
+        starts = starts[~odd[np.searchsorted(offsets, starts, "right") - 1] | head[starts]]
+    return starts, odd
 
 
 _CODECS: dict[str, Codec] = {}
@@ -107,22 +158,11 @@ def encode(docs: DataFrame, model: str, *keep: str, text: str = "text", decode:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)
         for batch in batches:
-            texts = [x or "" for x in batch.column(len(keep)).to_pylist()]
-            at = 0
-            while at < len(texts):
-                to, chars = at, 0
-                while to < len(texts) and (to == at or chars + len(texts[to]) <= BATCH_CHARS):
-                    chars += len(texts[to])
-                    to += 1
-                ids, said = own.encode_batch(texts[at:to])
-                flat = pa.array(np.frombuffer(b"".join(ids), np.int32))
-                ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
-                columns = [batch.column(i).slice(at, to - at) for i in range(len(keep))]
-                columns.append(pa.ListArray.from_arrays(pa.array(ends), flat))
-                if decode:
-                    columns.append(pa.array(said, pa.string()))
-                yield pa.RecordBatch.from_arrays(columns, names=out.names)
-                at = to
+            texts = batch.column(len(keep))
+            for a, b in textnp.slices(textnp.utf8(texts)[0], SLICE_BYTES):
+                columns = [batch.column(i).slice(a, b - a) for i in range(len(keep))]
+                ids, said = own.encode_column(texts.slice(a, b - a))
+                yield pa.RecordBatch.from_arrays([*columns, ids, said][: len(out)], names=out.names)
 
     from pyspark.sql import functions as F
 
