@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Settings the operators are written for; all can be changed at run time.
 SETTINGS = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true"}
+#: Texts go to Python workers in batches of so many bytes, however long they are; a session's own setting stays.
+BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 _shipped: set[str] = set()
 
@@ -24,6 +26,9 @@ def configure(spark: SparkSession) -> SparkSession:
 
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in Python workers, once for each application."""
+    for key, value in BATCHES.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
