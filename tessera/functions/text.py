@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 #: Characters that part words.
 PUNCTUATION = "([,.!?:;])"
@@ -28,14 +26,3 @@ def year_of(date: Column | str) -> Column:
     """The number before the first dash; bad text raises."""
     c = F.col(date) if isinstance(date, str) else date
     return F.split(c, "-")[0].cast("int")
-
-
-@F.pandas_udf(DoubleType())
-def round_half_even_exact(x: pd.Series) -> pd.Series:
-    """Round to one digit by the exact binary value, for the few rows of a report."""
-    return x.map(lambda v: None if pd.isna(v) else round(v, 1)).astype("float64")
-
-
-def ratio(a: Column, b: Column, otherwise: float = 0.0) -> Column:
-    """a / b, or *otherwise* where b is zero."""
-    return F.coalesce(F.try_divide(a, b), F.lit(otherwise))

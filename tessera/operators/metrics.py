@@ -23,5 +23,5 @@ def nmi(one: DataFrame, other: DataFrame) -> DataFrame:
 
 
 def cluster_sizes(labels: DataFrame) -> DataFrame:
-    """``label, n``."""
-    return labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    """``label, n``, largest first; one row a cluster."""
+    return labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label")

@@ -63,9 +63,16 @@ def partition_sizes(df: DataFrame, key: str, n: int, prefix: int | None = 1) ->
     return numbers.join(sizes, "partition", "left").select("partition", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
+def partitioned(df: DataFrame, number: Column, n: int) -> DataFrame:
+    """*df* dealt to *n* partitions: a row goes to partition *number* modulo *n*, nulls to the first."""
+    return df.repartitionById(n, F.coalesce(F.pmod(number.cast("long"), F.lit(n)), F.lit(0)).cast("int"))
+
+
 def physical_partition_sizes(df: DataFrame) -> DataFrame:
-    """Rows in each partition the frame has as it stands: ``partition, n``."""
-    return df.groupBy(F.spark_partition_id().alias("partition")).agg(F.count(F.lit(1)).alias("n"))
+    """Rows in each partition the frame has as it stands, empty ones too: ``partition, n``."""
+    sizes = df.groupBy(F.spark_partition_id().alias("partition")).agg(F.count(F.lit(1)).alias("n"))
+    numbers = df.sparkSession.range(df.rdd.getNumPartitions()).select(F.col("id").cast("int").alias("partition"))
+    return numbers.join(sizes, "partition", "left").select("partition", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def in_selected(df: DataFrame, key: str, selected: DataFrame) -> DataFrame:

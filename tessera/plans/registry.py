@@ -13,6 +13,7 @@ from tessera.functions.text import year_of
 from tessera.operators import bfr, cf, content, encode, itemsets, lsh, metrics, stats
 from tessera.plans import tables
 from tessera.session import shipped
+from tessera.storage import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -34,10 +35,12 @@ def query(sql: str | None = None, name: str | None = None):
 # Parameters.
 YEAR, TOP, LINES_OVER, BASKET_OVER = 1997, 20, 600, 4
 EVENT_SHARE, TRIPLE_SHARE, LINE_SHARE = 0.32, 0.2, 0.002
-ITEM_BANDS, USER_BANDS = 24, 39
+ITEM_BANDS, ITEM_ROWS, USER_BANDS = 8, 3, 39
 ITEM_PARAMS, USER_PARAMS = lsh.hash_params(25), lsh.hash_params(40, 29)
 JACCARD, LSH_JACCARD = 0.22, 0.05
 CENTRES = 5
+#: Ratings before these days train a model, those since test it.
+ORDERS_UNTIL, EVENTS_UNTIL = "2000-12-01", "2024-01-28"
 
 # SQL of the tables' roles.
 _RATINGS = """ratings AS (
@@ -93,6 +96,13 @@ def partition_stats(spark, sf_dir):
     return stats.partition_sizes(tables.read(spark, sf_dir, "orders"), "o_orderkey", 8)
 
 
+@query("""SELECT CAST(r.range AS INTEGER) AS partition, count(o_orderkey) AS n
+    FROM range(20) r LEFT JOIN orders ON o_orderkey % 20 = r.range GROUP BY 1""")
+def partitioned_sizes(spark, sf_dir):
+    dealt = stats.partitioned(tables.read(spark, sf_dir, "orders"), F.col("o_orderkey"), 20)
+    return stats.physical_partition_sizes(dealt)
+
+
 @query(f"SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > {LINES_OVER}")
 def key_count_threshold(spark, sf_dir):
     return stats.key_count_threshold(tables.read(spark, sf_dir, "lineitem"), "l_suppkey", LINES_OVER)
@@ -174,16 +184,16 @@ def freq_items_k3(spark, sf_dir):
     return _sets(itemsets.frequent_itemsets(rows, _support(rows, TRIPLE_SHARE), 3), 3)
 
 
-_LINE_SETS = f"""WITH b AS (SELECT DISTINCT l_orderkey AS basket, CAST(l_suppkey AS VARCHAR) AS item FROM lineitem),
-    n AS (SELECT count(DISTINCT basket) AS n FROM b),
-    s1 AS (SELECT [item] AS s, count(*) AS support FROM b GROUP BY item),
-    s2 AS (SELECT [x.item, y.item] AS s, count(*) AS support FROM b x JOIN b y ON x.basket = y.basket AND x.item < y.item GROUP BY x.item, y.item),
-    f2 AS (SELECT s FROM s2, n WHERE support >= ceil({LINE_SHARE} * n)),
-    s3 AS (SELECT [f2.s[1], f2.s[2], z.item] AS s, count(*) AS support
-           FROM f2 JOIN b x ON x.item = f2.s[1] JOIN b y ON y.item = f2.s[2] AND y.basket = x.basket
-                JOIN b z ON z.basket = x.basket AND z.item > f2.s[2] GROUP BY f2.s, z.item)
-    SELECT len(s)::BIGINT AS size, array_to_string(s, ',') AS items, support
-    FROM (FROM s1 UNION ALL FROM s2 UNION ALL FROM s3), n WHERE support >= ceil({LINE_SHARE} * n)"""
+# Itemsets of every size: a set with its baskets grows by a frequent item of a higher name.
+_LINE_SETS = f"""WITH RECURSIVE b AS (SELECT DISTINCT l_orderkey AS basket, CAST(l_suppkey AS VARCHAR) AS item FROM lineitem),
+    least AS (SELECT ceil({LINE_SHARE} * count(DISTINCT basket)) AS t FROM b),
+    f AS (SELECT item, list(basket) AS held FROM b GROUP BY item HAVING count(*) >= (SELECT t FROM least)),
+    grown AS (
+        SELECT [item] AS s, item AS last, held FROM f
+        UNION ALL
+        SELECT list_append(g.s, f.item), f.item, list_intersect(g.held, f.held) FROM grown g JOIN f ON f.item > g.last
+        WHERE len(list_intersect(g.held, f.held)) >= (SELECT t FROM least))
+    SELECT len(s)::BIGINT AS size, array_to_string(s, ',') AS items, len(held)::BIGINT AS support FROM grown"""
 
 
 @query(_LINE_SETS)
@@ -204,10 +214,19 @@ def freq_itemsets_son(spark, sf_dir):
     return _sets(itemsets.son(rows, _support(rows, LINE_SHARE), 4)[1])
 
 
+@query()
+def son_candidate_sets(spark, sf_dir):
+    """Which sets are candidates depends on how baskets are dealt to parts; all frequent ones are."""
+    rows = tables.line_baskets(spark, sf_dir)
+    found = itemsets.son(rows, _support(rows, LINE_SHARE), 4)[0]
+    return found.select(F.size("items").cast("long").alias("size"), F.array_join("items", ",").alias("items"))
+
+
 def _order_sets(spark, sf_dir) -> tuple[DataFrame, int]:
     pairs = tables.order_members(spark, sf_dir)
+    pairs = written(pairs, "members")
     index = encode.dense_index(pairs, "user")
-    return pairs.join(index, "user").select(F.col("item").alias("id"), F.col("idx").alias("x")), index.count()
+    return written(pairs.join(index, "user").select(F.col("item").alias("id"), F.col("idx").alias("x")), "members"), index.count()
 
 
 _PARAMS = "p AS (SELECT * FROM (VALUES {}) t(hash_no, ka, kb))"
@@ -235,19 +254,21 @@ def minhash_signature(spark, sf_dir):
     return lsh.signature_rows(lsh.signatures(members, ITEM_PARAMS, m))
 
 
-@query(f"""{_ITEM_SIG} SELECT DISTINCT u.id AS a, v.id AS b FROM sig u JOIN sig v
-    ON u.hash_no = v.hash_no AND u.min_hash = v.min_hash AND u.id < v.id WHERE u.hash_no < {ITEM_BANDS}""")
+_ITEM_CAND = f"""{_ITEM_SIG}, bands AS (SELECT id, hash_no // {ITEM_ROWS} AS band, list(min_hash ORDER BY hash_no) AS bucket
+        FROM sig WHERE hash_no < {ITEM_BANDS * ITEM_ROWS} GROUP BY ALL),
+    cand AS (SELECT DISTINCT u.id AS a, v.id AS b FROM bands u JOIN bands v ON u.band = v.band AND u.bucket = v.bucket AND u.id < v.id)"""
+
+
+@query(f"{_ITEM_CAND} SELECT a, b FROM cand")
 def lsh_candidates(spark, sf_dir):
     members, m = _order_sets(spark, sf_dir)
-    return lsh.candidates(lsh.signatures(members, ITEM_PARAMS, m), ITEM_BANDS)
+    return lsh.candidates(lsh.signatures(members, ITEM_PARAMS, m), ITEM_BANDS, ITEM_ROWS)
 
 
-@query(f"""{_ITEM_SIG}, cand AS (SELECT DISTINCT u.id AS a, v.id AS b FROM sig u JOIN sig v
-    ON u.hash_no = v.hash_no AND u.min_hash = v.min_hash AND u.id < v.id WHERE u.hash_no < {ITEM_BANDS})
-    SELECT a, b, round(sim, 6) AS sim FROM sims SEMI JOIN cand USING (a, b) WHERE sim >= {LSH_JACCARD}""")
+@query(f"{_ITEM_CAND} SELECT a, b, round(sim, 6) AS sim FROM sims SEMI JOIN cand USING (a, b) WHERE sim >= {LSH_JACCARD}")
 def lsh_jaccard(spark, sf_dir):
     members, m = _order_sets(spark, sf_dir)
-    found = lsh.jaccard(members, LSH_JACCARD, lsh.candidates(lsh.signatures(members, ITEM_PARAMS, m), ITEM_BANDS))
+    found = lsh.jaccard(members, LSH_JACCARD, lsh.candidates(lsh.signatures(members, ITEM_PARAMS, m), ITEM_BANDS, ITEM_ROWS))
     return found.withColumn("sim", F.round("sim", 6))
 
 
@@ -336,31 +357,91 @@ def pearson_users(spark, sf_dir):
     return _user_model(spark, sf_dir, tables.event_ratings(spark, sf_dir)).withColumn("sim", F.round("sim", 6))
 
 
-@query(f"""{_ITEM_MODEL}, e AS (SELECT t."user", t.item, r.item AS other, r.stars AS r,
-        coalesce(m.sim, 0) AS w FROM ratings t JOIN ratings r ON t."user" = r."user"
-        LEFT JOIN model m ON m.a = least(t.item, r.item) AND m.b = greatest(t.item, r.item)),
+def _item_predict_sql(model: str, test: str = "ratings") -> str:
+    return f"""{model}, e AS (SELECT t."user", t.item, r.item AS other, r.stars AS r,
+        coalesce(m.sim, 0) AS w FROM {test} t JOIN ratings r ON t."user" = r."user"
+        LEFT JOIN model m ON m.a = least(t.item, r.item) AND m.b = greatest(t.item, r.item)
+        WHERE t.item IN (SELECT item FROM ratings)),
     k AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY "user", item ORDER BY w DESC, r DESC, other) <= 6),
     s AS (SELECT "user", item, sum(r * w) AS top, sum(abs(w)) AS low FROM k GROUP BY ALL),
     mean AS (SELECT "user", avg(stars) AS mean FROM ratings GROUP BY 1)
-    SELECT "user", item, round(CASE WHEN top <> 0 AND low <> 0 THEN top / low ELSE mean END, 4) AS stars FROM s JOIN mean USING ("user")""")
-def item_cf_predict(spark, sf_dir):
-    ratings = tables.order_ratings(spark, sf_dir)
-    found = cf.item_predict(ratings.select("user", "item"), ratings, cf.item_model(ratings))
-    return found.withColumn("stars", F.round("stars", 4))
+    SELECT "user", item, round(CASE WHEN top <> 0 AND low <> 0 THEN top / low ELSE mean END, 4) AS stars FROM s JOIN mean USING ("user")"""
 
 
-@query(f"""{_USER_MODEL}, su AS (SELECT "user", sum(stars) AS s, count(*) AS n, avg(stars) AS mean FROM ratings GROUP BY 1),
+def _user_predict_sql(model: str, test: str = "ratings") -> str:
+    return f"""{model}, su AS (SELECT "user", sum(stars) AS s, count(*) AS n, avg(stars) AS mean FROM ratings GROUP BY 1),
     d AS (SELECT "user" AS other, item, stars - CASE WHEN n > 1 THEN (s - stars) / (n - 1) ELSE 0 END AS dev FROM ratings JOIN su USING ("user")),
-    e AS (SELECT t."user", t.item, sum(dev * coalesce(m.sim, 0)) AS top, sum(abs(coalesce(m.sim, 0))) AS low FROM ratings t JOIN d ON d.item = t.item
+    e AS (SELECT t."user", t.item, sum(dev * coalesce(m.sim, 0)) AS top, sum(abs(coalesce(m.sim, 0))) AS low FROM {test} t JOIN d ON d.item = t.item
         LEFT JOIN model m ON m.a = least(t."user", d.other) AND m.b = greatest(t."user", d.other) GROUP BY ALL)
     SELECT "user", item, round(least(mean + CASE WHEN top <> 0 AND low <> 0 THEN top / low ELSE 0 END, 5.0), 4) AS stars
-    FROM e JOIN su USING ("user")""")
+    FROM e JOIN su USING ("user")"""
+
+
+@query(_item_predict_sql(_ITEM_MODEL))
+def item_cf_predict(spark, sf_dir):
+    ratings = written(tables.order_ratings(spark, sf_dir), "ratings")
+    found = cf.item_predict(ratings.select("user", "item"), ratings, cf.item_model(ratings))
+    return found.withColumn("stars", F.round("stars", 4))
+
+
+@query(_user_predict_sql(_USER_MODEL))
 def user_cf_predict(spark, sf_dir):
-    ratings = tables.event_ratings(spark, sf_dir)
+    ratings = written(tables.event_ratings(spark, sf_dir), "ratings")
     found = cf.user_predict(ratings.select("user", "item"), ratings, _user_model(spark, sf_dir, ratings))
     return found.withColumn("stars", F.round("stars", 4))
 
 
+# Ratings in order of time, of which a user and item keep the last or the first.
+_HISTORY = """history AS (
+    SELECT o_custkey AS "user", l_suppkey AS item, l_quantity AS stars, o_orderdate AS day, l_orderkey, l_linenumber
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+_PICK = """(SELECT "user", item, stars FROM history {}
+    QUALIFY row_number() OVER (PARTITION BY "user", item ORDER BY day {o}, l_orderkey {o}, l_linenumber {o}) = 1)"""
+_TIMES = ("day", "l_orderkey", "l_linenumber")
+
+
+@query(f"WITH {_HISTORY} FROM {_PICK.format('', o='DESC')}")
+def latest_ratings(spark, sf_dir):
+    return cf.latest(tables.order_history(spark, sf_dir), *_TIMES)
+
+
+@query(f"WITH {_HISTORY} FROM {_PICK.format('', o='ASC')}")
+def first_ratings(spark, sf_dir):
+    return cf.earliest(tables.order_history(spark, sf_dir), *_TIMES)
+
+
+_ITEM_TRAIN = f"""{_HISTORY}, ratings AS (FROM {_PICK.format(f"WHERE day < DATE '{ORDERS_UNTIL}'", o='DESC')}),
+    test AS (SELECT DISTINCT "user", item FROM history WHERE day >= DATE '{ORDERS_UNTIL}')"""
+_EVENT_TRAIN = f"""pairs AS (SELECT user_id AS "user", CAST(json_extract_string(props, '$.k') AS BIGINT) AS item, value, ts, event_id FROM events),
+    ratings AS (SELECT "user", item, (CAST(floor(value) AS BIGINT) % 5 + 1)::DOUBLE AS stars FROM pairs WHERE ts < TIMESTAMP '{EVENTS_UNTIL}'
+        QUALIFY row_number() OVER (PARTITION BY "user", item ORDER BY ts DESC, event_id DESC) = 1),
+    test AS (SELECT DISTINCT "user", item FROM pairs WHERE ts >= TIMESTAMP '{EVENTS_UNTIL}')"""
+
+
+def _unknown(test: DataFrame) -> DataFrame:
+    """*test* with a user and an item that no rating has."""
+    spark, (one, two) = test.sparkSession, test.columns
+    more = spark.createDataFrame([(-1, 1), (1, -1), (-1, -1)], f"{one} long, {two} long")
+    return test.unionByName(more)
+
+
+@query(_item_predict_sql(_ITEM_MODEL.replace(_RATINGS, _ITEM_TRAIN), "test"))
+def item_cf_holdout(spark, sf_dir):
+    history = tables.order_history(spark, sf_dir)
+    train = written(cf.latest(history.where(F.col("day") < F.lit(ORDERS_UNTIL).cast("date")), *_TIMES), "ratings")
+    test = history.where(F.col("day") >= F.lit(ORDERS_UNTIL).cast("date")).select("user", "item").distinct()
+    return cf.item_predict(_unknown(test), train, cf.item_model(train)).withColumn("stars", F.round("stars", 4))
+
+
+@query(_user_predict_sql(_USER_MODEL.replace(_EVENT_RATINGS, _EVENT_TRAIN), "test"))
+def user_cf_holdout(spark, sf_dir):
+    history = tables.event_history(spark, sf_dir)
+    until = F.lit(EVENTS_UNTIL).cast("timestamp")
+    train = written(cf.latest(history.where(F.col("ts") < until), "ts", "event_id"), "ratings")
+    test = history.where(F.col("ts") >= until).select("user", "item").distinct()
+    return cf.user_predict(_unknown(test), train, _user_model(spark, sf_dir, train)).withColumn("stars", F.round("stars", 4))
+
+
 _POINTS = """pts AS (SELECT vec_id AS point_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings)"""
 _SUMMARY = f"""WITH {_POINTS}, s AS (SELECT label, dim, count(*) AS n, sum(v) AS sum, sum(v * v) AS sumsq FROM pts GROUP BY ALL),
     c AS (SELECT *, sum / n AS mean, sqrt(greatest(sumsq / n - (sum / n) * (sum / n), 0)) AS std FROM s)"""

@@ -24,6 +24,20 @@ def order_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(orders, lines.l_orderkey == orders.o_orderkey).groupBy("user", "item").agg(F.max("stars").alias("stars"))
 
 
+def order_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``user, item, stars, day, l_orderkey, l_linenumber``: every rating, several a user and item."""
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("user"), F.col("o_orderdate").cast("timestamp").alias("day"))
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("item"), F.col("l_quantity").alias("stars"))
+    return lines.join(orders, lines.l_orderkey == orders.o_orderkey).select("user", "item", "stars", "day", "l_orderkey", "l_linenumber")
+
+
+def event_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``user, item, stars, ts, event_id``: every event's value folded to 1 to 5."""
+    stars = (F.floor("value") % 5 + 1).cast("double")
+    item = F.get_json_object("props", "$.k").cast("long")
+    return read(spark, sf_dir, "events").select(F.col("user_id").alias("user"), item.alias("item"), stars.alias("stars"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
+
+
 def event_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``user, item, value`` of events: the item is the number in ``props``."""
     events = read(spark, sf_dir, "events")

@@ -1,12 +1,15 @@
 """Small fixtures for the quirks of the operators."""
 
+import random
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions.text import words, year_of
-from tessera.operators import cf, encode, itemsets, metrics, stats
+from tessera.operators import cf, encode, itemsets, lsh, metrics, stats
+from tessera.plans import registry
 
 
 def test_words_cut_at_unicode_space_and_signs(spark):
@@ -46,6 +49,101 @@ def test_itemsets_agree(spark):
         assert set(want) <= {tuple(r["items"]) for r in candidates.collect()}
 
 
+def test_a_level_of_itemsets_refers_to_tables_only(spark):
+    rows = spark.createDataFrame([(i, x) for i in range(6) for x in "abcdef"], "basket int, item string")
+    sizes = []
+    for most in (2, 3, 4, 5, 6):
+        found = itemsets.frequent_itemsets(rows, 6, most)
+        assert found.count() == sum(1 for k in range(1, most + 1) for _ in combinations("abcdef", k))
+        sizes.append(len(found._jdf.queryExecution().toString()))
+    steps = [b - a for a, b in zip(sizes, sizes[1:], strict=False)]
+    assert max(steps) < 1.2 * min(steps)
+
+
+def test_parts_of_baskets_keep_all_frequent_sets(spark):
+    """25 baskets of which the first 7 hold the only copies of a set, at a threshold cut 7 to 18."""
+    held = [["x", "y"]] * 7 + [["x"]] * 9 + [["y"]] * 9
+    rows = spark.createDataFrame([(i, v) for i, b in enumerate(held) for v in b], "basket int, item string")
+    candidates, found = itemsets.son(rows, 7, 2)
+    assert {tuple(r["items"]): r.support for r in found.collect()} == {("x",): 16, ("y",): 16, ("x", "y"): 7}
+    assert ("x", "y") in {tuple(r["items"]) for r in candidates.collect()}
+    small = itemsets.son_candidates(itemsets.baskets(rows), 7, 1, local=4)
+    assert {("x",), ("y",), ("x", "y")} <= {tuple(r["items"]) for r in small.collect()}
+
+
+def test_candidate_sets_hold_the_frequent_ones(spark):
+    found = {r["items"] for r in registry.QUERIES["freq_itemsets_son"](spark, "/root/testdata/sf0.001").collect()}
+    assert found <= {r["items"] for r in registry.QUERIES["son_candidate_sets"](spark, "/root/testdata/sf0.001").collect()}
+
+
+def _sets(n=60, seed=8):
+    rng = random.Random(seed)
+    base = [set(rng.sample(range(400), rng.randint(5, 40))) for _ in range(n)]
+    near = [b - {min(b)} | {500 + i} for i, b in enumerate(base[: n // 2])]
+    return dict(enumerate(base + near))
+
+
+def _similar(sets, t):
+    return {(a, b): round(s, 9) for a, b in combinations(sorted(sets), 2) if (s := len(sets[a] & sets[b]) / len(sets[a] | sets[b])) >= t}
+
+
+@pytest.mark.parametrize("threshold", [0.05, 0.5, 0.6, 0.8, 1.0])
+def test_exact_jaccard(spark, threshold):
+    sets = _sets()
+    sets[998] = sets[999] = {1, 2, 3}
+    members = spark.createDataFrame([(i, x) for i, s in sets.items() for x in s], "id int, x long")
+    got = {(r.a, r.b): round(r.sim, 9) for r in lsh.jaccard(members, threshold).collect()}
+    assert got == _similar(sets, threshold)
+    pairs = spark.createDataFrame([(0, 60), (1, 2), (998, 999)], "a int, b int")
+    got = {(r.a, r.b): round(r.sim, 9) for r in lsh.jaccard(members, threshold, pairs).collect()}
+    assert got == {k: v for k, v in _similar(sets, threshold).items() if k in {(0, 60), (1, 2), (998, 999)}}
+
+
+def test_bands_find_similar_sets_and_few_others(spark):
+    sets = _sets()
+    members = spark.createDataFrame([(i, x) for i, s in sets.items() for x in s], "id int, x long")
+    found = {(r.a, r.b) for r in lsh.candidates(lsh.signatures(members, lsh.hash_params(60), 2000), 20, 3).collect()}
+    want = set(_similar(sets, 0.6))
+    assert len(found & want) >= 0.95 * len(want) and len(found) < 0.2 * len(sets) * (len(sets) - 1) / 2
+    library = {(r.a, r.b): round(r.sim, 9) for r in lsh.library_pairs(members, 0.6).collect()}
+    assert set(library) <= want and len(library) >= 0.95 * len(want)
+
+
+def test_latest_and_earliest_rating(spark):
+    rows = [("u", "i", 1.0, 1), ("u", "i", 5.0, 2), ("u", "i", 3.0, 3), ("v", "i", 2.0, 9)]
+    df = spark.createDataFrame(rows, "user string, item string, stars double, day int")
+    assert {(r.user, r.stars) for r in cf.latest(df, "day").collect()} == {("u", 3.0), ("v", 2.0)}
+    assert {(r.user, r.stars) for r in cf.earliest(df, "day").collect()} == {("u", 1.0), ("v", 2.0)}
+    assert {(r.user, r.stars) for r in cf.latest(df).collect()} == {("u", 5.0), ("v", 2.0)}
+
+
+def test_predictions_of_unknown_and_of_lone_ratings(spark):
+    ratings = spark.createDataFrame([("a", "x", 4.0), ("a", "y", 2.0), ("b", "x", 5.0)], "user string, item string, stars double")
+    test = spark.createDataFrame([("b", "y"), ("z", "x"), ("a", "q"), ("a", "x")], "user string, item string")
+    items = spark.createDataFrame([], "a string, b string, sim double")
+    assert {(r.user, r.item): r.stars for r in cf.item_predict(test, ratings, items).collect()} == {("b", "y"): 5.0, ("a", "x"): 3.0}
+    users = spark.createDataFrame([("a", "b", 0.5)], "a string, b string, sim double")
+    got = {(r.user, r.item): r.stars for r in cf.user_predict(test, ratings, users).collect()}
+    # b's only rating leaves a mean of 0 without it, and a's rating of y is 2 below a's mean of the rest.
+    assert got == {("b", "y"): 3.0, ("a", "x"): 5.0}
+
+
+def test_older_item_model(spark):
+    ratings = [(u, i, float(s)) for i, col in (("a", (1, 2, 3, 5)), ("b", (5, 3, 2, 1)), ("c", (3, 3, 3, 3))) for u, s in enumerate(col)]
+    df = spark.createDataFrame(ratings, "user int, item string, stars double")
+    got = {(r.a, r.b): r.sim for r in cf.item_model_all_means(df).collect()}
+    assert got[("a", "c")] == got[("b", "c")] == 0.0
+    assert got[("a", "b")] == pytest.approx(float(np.corrcoef([1, 2, 3, 5], [5, 3, 2, 1])[0, 1]))
+
+
+def test_averages_round_half_up_at_one_digit(spark):
+    stars = [("a", 2.25), ("b", 0.35), ("c", 4.05), ("d", 3.65)]
+    ratings = spark.createDataFrame(stars, "item string, stars double")
+    items = spark.createDataFrame([(i, i) for i, _ in stars], "item string, categories string")
+    got = {r.category: r.avg_stars for r in stats.category_average(ratings, items, "item", "stars").collect()}
+    assert got == {"a": 2.3, "b": 0.4, "c": 4.1, "d": 3.7}
+
+
 def test_pearson_guards(spark):
     ratings = [(u, "a", float(s)) for u, s in enumerate((1, 2, 3, 5))] + [(u, "b", float(s)) for u, s in enumerate((2, 4, 6, 10))]
     ratings += [(u, "flat", 3.0) for u in range(4)] + [(u, "two", float(u)) for u in range(2)]
