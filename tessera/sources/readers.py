@@ -30,11 +30,16 @@ def basket_csv(spark: SparkSession, path: str, swap: bool = False, partitions: i
     return out.repartition(partitions) if partitions else out
 
 
-def points_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of an integer id and numbers, without header; numbers are cast, never evaluated."""
+def points_of_lines(lines: DataFrame) -> DataFrame:
+    """``point_id, features`` of lines of an integer id and numbers; numbers are cast, never evaluated."""
     parts = F.split("value", ",")
     numbers = F.transform(F.slice(parts, F.lit(2), F.size(parts) - 1), lambda x: F.trim(x).cast("double"))
-    return spark.read.text(path).select(F.trim(parts[0]).cast("long").alias("point_id"), numbers.alias("features"))
+    return lines.select(F.trim(parts[0]).cast("long").alias("point_id"), numbers.alias("features"))
+
+
+def points_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Points in files of comma-separated lines without header."""
+    return points_of_lines(spark.read.text(path))
 
 
 def chunk_files(spark: SparkSession, folder: str) -> list[str]:
@@ -44,11 +49,12 @@ def chunk_files(spark: SparkSession, folder: str) -> list[str]:
 
 
 def stop_words(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).select(F.trim("value").alias("word")).distinct()
+    """``word``, one a line, without white space around it."""
+    return spark.read.text(path).select(F.regexp_replace("value", r"(?U)^\s+|\s+$", "").alias("word")).distinct()
 
 
 def item_model(spark: SparkSession, path: str) -> DataFrame:
-    """``a, b, sim`` with a < b, one row a pair; of repeated pairs the largest similarity."""
+    """``a, b, sim`` with a < b, one row a pair; a pair given twice stops the job."""
     return _model(spark.read.schema(schemas.ITEM_MODEL).json(path), "b1", "b2")
 
 
@@ -58,7 +64,9 @@ def user_model(spark: SparkSession, path: str) -> DataFrame:
 
 def _model(rows: DataFrame, one: str, two: str) -> DataFrame:
     pairs = rows.select(F.least(one, two).alias("a"), F.greatest(one, two).alias("b"), "sim")
-    return pairs.groupBy("a", "b").agg(F.max("sim").alias("sim"))
+    once = pairs.groupBy("a", "b").agg(F.max("sim").alias("sim"), F.count(F.lit(1)).alias("n"))
+    twice = F.raise_error(F.concat(F.lit("the model has a pair twice: "), F.col("a"), F.lit(", "), F.col("b"))).cast("double")
+    return once.select("a", "b", F.when(F.col("n") > 1, twice).otherwise(F.col("sim")).alias("sim"))
 
 
 def profiles(spark: SparkSession, path: str, kind: str) -> DataFrame:

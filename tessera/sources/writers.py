@@ -1,8 +1,12 @@
-"""Sinks: JSON documents, JSON lines, CSV and the itemset report."""
+"""Sinks: JSON documents, JSON lines, CSV, the itemset report, cluster assignments and timings."""
 
 from __future__ import annotations
 
 import json
+import logging
+import time
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,24 +38,36 @@ def review_report(counts: DataFrame, users: DataFrame, words: DataFrame) -> dict
     }
 
 
-def itemset_report(sets: DataFrame) -> DataFrame:
-    """One line a size: ``size, line`` with tuples in order, such as ``('a'),('b')`` or ``('a', 'b')``."""
-    one = F.concat(F.lit("("), F.array_join(F.transform("items", lambda i: F.concat(F.lit("'"), i, F.lit("'"))), ", "), F.lit(")"))
-    rows = sets.select(F.size("items").alias("size"), F.struct("items", one.alias("shown")).alias("s"))
-    ranked = rows.groupBy("size").agg(F.sort_array(F.collect_list("s")).alias("s"))
-    return ranked.select("size", F.array_join("s.shown", ",").alias("line")).orderBy("size")
-
-
 def write_itemset_report(path: str, candidates: DataFrame, frequent: DataFrame) -> None:
-    """The two sections of a report, each line ended by CRLF."""
-    parts = []
-    for title, sets in (("Candidates:", candidates), ("Frequent Itemsets:", frequent)):
-        parts.append("\r\n".join([title, *(r.line for r in itemset_report(sets).collect())]))
+    """A text file of two sections: a title, then a line for each size with its sets in order, such as ``('a'),('b')``.
+
+    Lines are parted by CRLF.  Sets are sorted in Spark and come to the driver partition by partition.
+    """
     with open(path, "w", encoding="utf-8", newline="") as out:
-        out.write("\r\n\r\n".join(parts))
+        for title, sets in (("Candidates:", candidates), ("\r\nFrequent Itemsets:", frequent)):
+            out.write(title)
+            size = 0
+            for r in sets.select("items").orderBy(F.size("items"), "items").toLocalIterator():
+                out.write("," if len(r[0]) == size else "\r\n")
+                size = len(r[0])
+                out.write(f"({r[0][0]!r})" if size == 1 else repr(tuple(r[0])))
 
 
-def assignment_map(assigned: DataFrame) -> DataFrame:
-    """``{point: cluster}`` as one JSON text, for small results; rows (:func:`json_lines`) scale."""
-    pairs = F.sort_array(F.collect_list(F.struct(F.col("point_id").cast("string").alias("k"), F.col("cluster_id").alias("v"))))
-    return assigned.agg(F.to_json(F.map_from_entries(pairs)).alias("value"))
+def write_assignment(path: str, assigned: DataFrame) -> None:
+    """``{"point": cluster, ...}`` as one JSON file in order of points, which come partition by partition."""
+    with open(path, "w", encoding="utf-8") as out:
+        out.write("{")
+        for i, r in enumerate(assigned.select("point_id", "cluster_id").orderBy("point_id").toLocalIterator()):
+            out.write(f'{", " if i else ""}{json.dumps(str(r[0]))}: {json.dumps(r[1])}')
+        out.write("}")
+
+
+@contextmanager
+def timed(report: dict, step: str) -> Iterator[None]:
+    """Put the seconds of what is done inside into *report* under *step*, and log them."""
+    began = time.perf_counter()
+    try:
+        yield
+    finally:
+        report[step] = time.perf_counter() - began
+        logging.getLogger("tessera").info("%s: %.3f s", step, report[step])
