@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of a row group: what a task holds while it writes, and reads at a time.
+ROW_GROUP = 8 << 20
 _FALLBACK: list[str] = []
 
 
@@ -29,7 +31,7 @@ def written(df: DataFrame, tag: str, files: int | None = None) -> DataFrame:
     """Cut lineage: write *df* as Parquet to the shared folder, in at most *files* parts, and read it back."""
     spark = df.sparkSession
     path = new_path(spark, tag)
-    (df.coalesce(files) if files else df).write.parquet(path)
+    (df.coalesce(files) if files else df).write.option("parquet.block.size", ROW_GROUP).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
     return out
