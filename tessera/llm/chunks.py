@@ -8,7 +8,7 @@ return as they are met again.  What is forgotten is segmented again, which costs
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Sequence
 
 #: Entries of a worker's table, beside those of one batch; some 200 bytes each.
 TABLE_SIZE = 400_000
@@ -21,29 +21,7 @@ class ChunkTable:
         self.segment, self.half, self.known, self.older = segment, size // 2, {}, {}
 
     def values(self, distinct: list) -> list:
-        """The values of distinct chunks, in order."""
-        self._learn(distinct)
-        return list(map(self.known.__getitem__, distinct))
-
-    def look_up(self, texts: list[list]) -> list[list]:
-        """The values of each text's chunks, in order."""
-        out = []
-        for chunks in texts:
-            try:
-                out.append(list(map(self.known.__getitem__, chunks)))
-            except KeyError:
-                self._learn(set(chunks))
-                out.append(list(map(self.known.__getitem__, chunks)))
-        return out
-
-    def learn(self, texts: list[list]) -> None:
-        """Segment what the table lacks of a batch of texts in one go."""
-        distinct: set = set()
-        for chunks in texts:
-            distinct.update(chunks)
-        self._learn(distinct)
-
-    def _learn(self, distinct: Iterable) -> None:
+        """The values of distinct chunks, in order; those that the table lacks are segmented in one go."""
         new = [x for x in distinct if x not in self.known]
         if len(self.known) + len(new) > self.half:
             self.older, self.known = self.known, {}
@@ -55,3 +33,4 @@ class ChunkTable:
             else:
                 self.known[x] = value
         self.known.update(zip(lacking, self.segment(lacking), strict=True))
+        return list(map(self.known.__getitem__, distinct))

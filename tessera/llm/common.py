@@ -2,39 +2,29 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.storage import ROW_GROUP, dropped, new_path, shared_dir, written  # noqa: F401
+
 #: A word is a maximal run of characters other than space and U+0009..U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_FALLBACK: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a temporary one where it is unset, as in tests."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    if not _FALLBACK:
-        _FALLBACK.append("file://" + tempfile.mkdtemp(prefix="tessera-shared-"))
-    return _FALLBACK[0]
+#: Bytes of a table's part, where the session's number of shuffle partitions would make smaller ones.
+PART_BYTES = 16 << 20
 
 
-def new_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/tessera/{tag}-{uuid.uuid4().hex}"
+def parts_of(df: DataFrame) -> int:
+    """Parts for tables about as large as *df*: of ``PART_BYTES``, but two a core, and no more than a shuffle makes.
 
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Cut lineage: write *df* as Parquet to the shared folder and read it back."""
+    Sizes are the optimizer's estimates; they decide the layout of files only.
+    """
     spark = df.sparkSession
-    path = new_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(2 * spark.sparkContext.defaultParallelism, min(math.ceil(size / PART_BYTES), shuffled))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,11 +52,25 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
         F.col(key).alias("__hot"), *[F.col(c).alias(f"__hot_{c}") for c in rest]
     )
     cold = groups.select(F.col(key).alias("__cold"), *[F.col(c).alias(f"__cold_{c}") for c in rest])
-    filler = F.hex(F.xxhash64(*rows.columns))
-    if dict(groups.dtypes)[key] == "binary":
-        filler = F.unhex(filler)
+    filler, kind = F.xxhash64(*rows.columns), dict(groups.dtypes)[key]
+    if kind in ("string", "binary"):
+        filler = F.hex(filler) if kind == "string" else F.unhex(F.hex(filler))
     marked = rows.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")
     marked = marked.withColumn("__key", F.when(F.col("__hot").isNull(), F.col(key)).otherwise(filler))
     return marked.join(cold, F.col("__key") == F.col("__cold"), "left").select(
         *rows.columns, *[F.coalesce(f"__hot_{c}", f"__cold_{c}").alias(c) for c in rest]
     )
+
+
+def join_held(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, share: int = 1000) -> DataFrame:
+    """The rows whose *key* is in *groups*, with the columns of its one row there, as :func:`join_groups` keeps hot groups apart.
+
+    *groups* is a table, as it is read several times; *size* is left out of the result.
+    """
+    # Fewer than *share* groups hold over a *share*-th of the rows each, so the list is bounded.
+    hot = [r[0] for r in groups.where(F.col(size) * share > total).select(key).collect()]
+    slim = groups.drop(size)
+    if not hot:
+        return rows.join(slim, key)
+    is_hot = F.col(key).isin(hot)
+    return rows.where(is_hot).join(F.broadcast(slim.where(is_hot)), key).unionByName(rows.where(~is_hot).join(slim.where(~is_hot), key))

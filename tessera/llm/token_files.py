@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm import textnp
 from tessera.llm.chunks import ChunkTable
-from tessera.llm.common import new_path, written
+from tessera.llm.common import ROW_GROUP, dropped, new_path, parts_of, written
 
-SCALE_BITS, LANES, CHECKPOINT, BLOCK_TOKENS = 20, 1024, 128, 1 << 18
+SCALE_BITS, LANES, CHECKPOINT, BLOCK_TOKENS = 20, 1024, 64, 1 << 17
 #: Bytes of text cut at a time.
 SLICE_BYTES = 6 << 20
 MAGIC = b"TSR1"
@@ -327,6 +327,11 @@ def tokenizer(path: str) -> ByteTokenizer:
     return _TOKENIZERS[path]
 
 
+def forget() -> None:
+    """Free what this worker has learned, before passes that tokenize nothing; workers are reused."""
+    _TOKENIZERS.clear()
+
+
 _TOKENS = "shard int, block int, doc_ids array<bigint>, lengths array<int>, ids binary"
 _BLOCKS = "shard int, block int, doc_ids array<bigint>, lengths array<int>, coded binary"
 
@@ -339,7 +344,7 @@ def tokenized(docs: DataFrame, path: str, end: int = 0, text: str = "text") -> D
     """Blocks of token ids in ascending order of document id, not yet coded."""
     rows = docs.select("doc_id", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text"))
-    ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
+    ordered = rows.repartitionByRange(parts_of(docs), "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -378,20 +383,20 @@ def tokenized(docs: DataFrame, path: str, end: int = 0, text: str = "text") -> D
     return ordered.mapInArrow(run, _TOKENS)
 
 
-def count_ids(tokens: DataFrame, path: str) -> np.ndarray:
-    """How often each id of the vocabulary occurs; the vocabulary bounds the result."""
+def count_ids(tokens: DataFrame, size: int, kind: type) -> np.ndarray:
+    """How often each of *size* ids, stored as *kind*, occurs; the vocabulary bounds the result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = tokenizer(path)
-        total = np.zeros(own.size, np.int64)
+        forget()
+        total = np.zeros(size, np.int64)
         for batch in batches:
-            for x in batch.column(0).to_pylist():
-                total += np.bincount(np.frombuffer(x, own.kind), minlength=own.size)
+            for x in batch.column(0):
+                total += np.bincount(np.frombuffer(x.as_buffer(), kind), minlength=size)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
 
     rows = tokens.select("ids").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(tokenizer(path).size, np.int64)
+    out = np.zeros(size, np.int64)
     for r in rows:
         out[r.id] = r.n
     return out
@@ -401,22 +406,25 @@ def write(docs: DataFrame, path: str, to: str, end: int = 0) -> None:
     """Write the file set of *docs* below the folder *to*: ``blocks`` and ``frequencies``."""
     spark = docs.sparkSession
     tokens = written(tokenized(docs, path, end), "tokens")
-    counts = count_ids(tokens, path)
+    own = ByteTokenizer(path)
+    size, kind = own.size, own.kind
+    counts = count_ids(tokens, size, kind)
     spark.createDataFrame([(counts.astype("<i8").tobytes(),)], "counts binary").coalesce(1).write.parquet(f"{to}/frequencies")
     sent = spark.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, table = tokenizer(path), FrequencyTable(sent.value)
+        table = FrequencyTable(sent.value)
         for batch in batches:
             for i in range(batch.num_rows):
-                ids = np.frombuffer(batch.column(4)[i].as_py(), own.kind)
+                ids = np.frombuffer(batch.column(4)[i].as_buffer(), kind)
                 row = batch.slice(i, 1)
                 yield pa.RecordBatch.from_arrays(
                     [*row.columns[:4], pa.array([encode_block(ids, table)], pa.binary())],
                     names=["shard", "block", "doc_ids", "lengths", "coded"],
                 )
 
-    tokens.mapInArrow(run, _BLOCKS).write.option("compression", "uncompressed").parquet(f"{to}/blocks")
+    tokens.mapInArrow(run, _BLOCKS).write.options(**{"compression": "uncompressed", "parquet.block.size": ROW_GROUP}).parquet(f"{to}/blocks")
+    dropped(tokens)
 
 
 def read(spark, at: str) -> tuple[DataFrame, np.ndarray]:
