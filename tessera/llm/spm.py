@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,13 +46,13 @@ class Codec:
         )
         self.eos = sp.eos_id()
         self.probe = sp.encode("a")
-        self.table = ChunkTable(self._segment)
+        # Ids that do not stand for their piece's text.
+        self.special = np.array([sp.is_unknown(i) or sp.is_control(i) or sp.is_byte(i) or sp.is_unused(i) for i in range(sp.get_piece_size())])
+        self.table = ChunkTable(self._segment, 2)
 
-    def _segment(self, keys: list[bytes]) -> list[tuple[bytes, bytes]]:
-        """The ids and the decoded text of keys of the table: chunks as they stand in texts, the first of a text without its mark."""
-        out = []
+    def _segment(self, keys: list[bytes]) -> list[list[bytes]]:
+        """The ids and the decoded texts of keys of the table: chunks as they stand in texts, the first of a text without its mark."""
         chunks = [k.decode().replace(" ", MARK) for k in keys]
-        first = [c[0] not in (MARK, "\n") for c in chunks]
         # A library call puts one mark before its text, as it does before a text's first chunk.
         ids = self.sp.encode([c[1:] if c[0] == MARK else c for c in chunks], num_threads=1)
         for i, c in enumerate(chunks):
@@ -59,10 +60,14 @@ class Codec:
                 ids[i] = ids[i][1:]
             elif c == MARK:
                 ids[i] = [self.sp.piece_to_id(MARK)]
-        said = self.sp.decode([self.probe + x for x in ids], num_threads=1)
-        for x, text, f in zip(ids, said, first, strict=True):
-            out.append((array("i", x).tobytes(), text[1 + f :].encode()))
-        return out
+        # Pieces make up their chunk, which is what they decode to; the library is asked about other ids alone.
+        said = [c.replace(MARK, " ").encode() for c in chunks]
+        sizes = np.array([len(x) for x in ids])
+        odd = np.add.reduceat(self.special[np.fromiter(chain.from_iterable(ids), np.int64, sizes.sum())], np.cumsum(sizes) - sizes)
+        unlike = [i for i in np.flatnonzero(odd).tolist() if sizes[i]]
+        for i, text in zip(unlike, self.sp.decode([self.probe + ids[i] for i in unlike], num_threads=1), strict=True):
+            said[i] = text[1 + (chunks[i][0] not in (MARK, "\n")) :].encode()
+        return [[array("i", x).tobytes() for x in ids], said]
 
     def _whole(self, text: str) -> tuple[bytes, bytes]:
         """The ids, without the end, and the decoded text of a text that is not cut in bulk."""
@@ -70,13 +75,14 @@ class Codec:
             ids = self.sp.encode(text, num_threads=1)
             return array("i", ids).tobytes(), self.sp.decode(ids).encode()
         first, *rest = _GENERAL.findall(MARK + text.replace(" ", MARK))
-        # The table knows a text's first chunk without its mark; where that leaves nothing or a mark, its ids are told apart.
+        # The table knows a text's first chunk without its mark; where that leaves nothing or a mark, its text is cut.
         own = first[1:] if first[1:] and first[1] != MARK else first
-        found = self.table.values(list(dict.fromkeys(c.encode() for c in [own, *rest])))
-        known = dict(zip(dict.fromkeys([own, *rest]), found, strict=True))
-        said = known[own][1] if own != first else known[own][1][1:]
+        distinct = list(dict.fromkeys([own, *rest]))
+        ids, said = (c.to_pylist() for c in self.table.values(pa.array([c.encode() for c in distinct], pa.large_binary())))
+        known = dict(zip(distinct, zip(ids, said, strict=True), strict=True))
+        head = known[own][1] if own != first else known[own][1][1:]
         values = [known[c] for c in rest]
-        return known[own][0] + b"".join(v[0] for v in values), said + b"".join(v[1] for v in values)
+        return known[own][0] + b"".join(v[0] for v in values), head + b"".join(v[1] for v in values)
 
     def encode_column(self, texts: pa.Array) -> tuple[pa.ListArray, pa.StringArray]:
         """Of each text, its ids with the end id, and what they decode to."""
@@ -86,22 +92,25 @@ class Codec:
         edges = np.append(starts, len(data)).astype(np.int64)
         cut = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(data)])
         coded = cut.dictionary_encode()
-        keys, index = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        keys, index = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
         firsts = np.searchsorted(starts, offsets)
         # Texts taken whole have entries of their own: their bytes may equal a chunk's.
         alone = firsts[:-1][odd]
         plain = np.ones(len(index), bool)
         plain[alone] = False
         used = np.unique(index[plain])
-        values: list[tuple[bytes, bytes]] = [(b"", b"")] * len(keys)
-        for i, value in zip(used.tolist(), self.table.values([keys[i] for i in used]), strict=True):
-            values[i] = value
-        for at in alone.tolist():
-            values.append(self._whole(keys[index[at]].decode()))
-        index[alone] = len(keys) + np.arange(len(alone))
-        ids, said = (pa.array(x, pa.large_binary()) for x in zip(*values, (array("i", [self.eos]).tobytes(), b""), strict=True))
+        wholes = [self._whole(keys[i].as_py().decode()) for i in index[alone].tolist()]
+        ids, said = self.table.values(keys.take(pa.array(used)))
+        place = np.zeros(len(keys), np.int64)
+        place[used] = np.arange(len(used))
+        index = place[index]
+        index[alone] = len(used) + np.arange(len(alone))
+        ids, said = (
+            pa.concat_arrays([c, pa.array([*(w[i] for w in wholes), last], pa.large_binary())])
+            for i, (c, last) in enumerate(((ids, array("i", [self.eos]).tobytes()), (said, b"")))
+        )
         # The values of all chunks, and the end after each text's, one after another.
-        chosen = pa.array(np.insert(index, firsts[1:], len(values)))
+        chosen = pa.array(np.insert(index, firsts[1:], len(ids) - 1))
         ends = firsts[1:] + np.arange(1, n + 1)
         edges_of = lambda taken: np.insert(np.frombuffer(taken.buffers()[1], np.int64)[ends], 0, 0)
         flat, text = ids.take(chosen), said.take(chosen)

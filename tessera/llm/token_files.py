@@ -248,8 +248,8 @@ class ByteTokenizer:
         found = self.library.encode_batch_fast([x.decode() for x in texts], add_special_tokens=False)
         return [np.array(x.ids, self.kind).tobytes() for x in found]
 
-    def _segment(self, keys: list[bytes]) -> list[bytes]:
-        """The ids of chunks, none of which has white space after its first byte."""
+    def _segment(self, keys: list[bytes]) -> list[list[bytes]]:
+        """The ids of chunks, none of which has white space after its first byte, as one column."""
         out: list[bytes] = [b""] * len(keys)
         tokenize, tails = self.library.model.tokenize, self.tails
         feed, kind, plain = np.array([self.feed], self.kind).tobytes(), np.dtype(self.kind).char, []
@@ -281,7 +281,7 @@ class ByteTokenizer:
             for i, a, b in zip(part, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 # A chunk that begins with a line feed keeps its id.
                 out[i] = (feed if keys[i][0] == _FEED else b"") + packed[(a + 1) * width : b * width]
-        return out
+        return [out]
 
     def encode_column(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """``(ids, lengths)``: all texts' ids, each text's followed by *end*, and how many each has."""
@@ -294,19 +294,20 @@ class ByteTokenizer:
         edges = np.append(starts, len(data))
         cut = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(data)])
         coded = cut.dictionary_encode()
-        keys, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        keys, index = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
         firsts = np.searchsorted(starts, offsets)
-        by_library = set(index[firsts[:-1][odd & (np.diff(firsts) > 0)]].tolist())
-        values: list[bytes] = [b""] * len(keys)
-        others = [i for i in range(len(keys)) if i not in by_library] if by_library else range(len(keys))
-        for i, ids in zip(others, self.table.values([keys[i] for i in others]), strict=True):
-            values[i] = ids
-        for i in by_library:
-            (values[i],) = self._whole([keys[i]])
-        values.append(np.array([end], self.kind).tobytes())
+        # Texts that are one chunk as a whole go to the library, after the other chunks.
+        whole = np.unique(index[firsts[:-1][odd & (np.diff(firsts) > 0)]])
+        others = np.setdiff1d(np.arange(len(keys)), whole, assume_unique=True)
+        place = np.empty(len(keys), np.int64)
+        place[others], place[whole] = np.arange(len(others)), len(others) + np.arange(len(whole))
+        index = place[index]
+        ids_of = self._whole(keys.take(pa.array(whole)).to_pylist()) if len(whole) else []
+        (known,) = self.table.values(keys.take(pa.array(others)))
+        values = pa.concat_arrays([known, pa.array([*ids_of, np.array([end], self.kind).tobytes()], pa.large_binary())])
         # The values of all chunks, and the end after each text's, one after another.
-        chosen = np.insert(index.astype(np.int64), firsts[1:], len(keys))
-        taken = pa.array(values, pa.large_binary()).take(pa.array(chosen))
+        chosen = np.insert(index, firsts[1:], len(keys))
+        taken = values.take(pa.array(chosen))
         edges = np.frombuffer(taken.buffers()[1], np.int64)[: len(chosen) + 1]
         ids = np.frombuffer(taken.buffers()[2], self.kind) if n else np.zeros(0, self.kind)
         ends = edges[firsts[1:] + np.arange(1, n + 1)] // np.dtype(self.kind).itemsize

@@ -117,8 +117,16 @@ def test_sentencepiece_of_odd_rows(odd, none):
     assert spm.encode(none, PIECES, "doc_id").collect() == []
 
 
-def test_chunk_table_starts_anew_when_full():
-    table = chunks.ChunkTable(lambda xs: [x.upper() for x in xs], size=3)
-    for keys in (["a", "b"], ["c", "d", "a", "b"], ["e"], ["d", "a"]):
-        assert table.values(keys) == [x.upper() for x in keys]
-    assert len(table.known) + len(table.older) <= 6
+def test_chunk_table_forgets_its_older_half():
+    table = chunks.ChunkTable(lambda xs: [[x.upper() for x in xs], [x * 2 for x in xs]], 2, size=3)
+    for keys in ([b"a", b"b"], [b"c", b"d", b"a", b"b"], [], [b"e"], [b"d", b"a"], [b"f", b"ff", b"a"]):
+        one, two = table.values(pa.array(keys, pa.large_binary()))
+        assert one.to_pylist() == [x.upper() for x in keys] and two.to_pylist() == [x * 2 for x in keys]
+        assert len(table.keys) <= 3
+
+
+def test_equal_hashes_do_no_harm(monkeypatch):
+    monkeypatch.setattr(chunks, "hashes", lambda keys: np.zeros(len(keys), np.uint64))
+    table = chunks.ChunkTable(lambda xs: [[x.upper() for x in xs]], size=100)
+    for keys in ([b"a", b"b"], [b"b", b"c", b"a"], [b"a"]):
+        assert table.values(pa.array(keys, pa.large_binary()))[0].to_pylist() == [x.upper() for x in keys]
