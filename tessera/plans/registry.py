@@ -396,7 +396,7 @@ _HISTORY = """history AS (
     SELECT o_custkey AS "user", l_suppkey AS item, l_quantity AS stars, o_orderdate AS day, l_orderkey, l_linenumber
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 _PICK = """(SELECT "user", item, stars FROM history {}
-    QUALIFY row_number() OVER (PARTITION BY "user", item ORDER BY day {o}, l_orderkey {o}, l_linenumber {o}) = 1)"""
+    QUALIFY row_number() OVER (PARTITION BY "user", item ORDER BY day {o}, l_orderkey {o}, l_linenumber {o}, stars {o}) = 1)"""
 _TIMES = ("day", "l_orderkey", "l_linenumber")
 
 
@@ -414,7 +414,7 @@ _ITEM_TRAIN = f"""{_HISTORY}, ratings AS (FROM {_PICK.format(f"WHERE day < DATE
     test AS (SELECT DISTINCT "user", item FROM history WHERE day >= DATE '{ORDERS_UNTIL}')"""
 _EVENT_TRAIN = f"""pairs AS (SELECT user_id AS "user", CAST(json_extract_string(props, '$.k') AS BIGINT) AS item, value, ts, event_id FROM events),
     ratings AS (SELECT "user", item, (CAST(floor(value) AS BIGINT) % 5 + 1)::DOUBLE AS stars FROM pairs WHERE ts < TIMESTAMP '{EVENTS_UNTIL}'
-        QUALIFY row_number() OVER (PARTITION BY "user", item ORDER BY ts DESC, event_id DESC) = 1),
+        QUALIFY row_number() OVER (PARTITION BY "user", item ORDER BY ts DESC, event_id DESC, stars DESC) = 1),
     test AS (SELECT DISTINCT "user", item FROM pairs WHERE ts >= TIMESTAMP '{EVENTS_UNTIL}')"""
 
 
