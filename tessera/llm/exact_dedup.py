@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import text_of
+from tessera.llm.common import join_groups, text_of, written
 
 SALTS = 32
 HOT = 1000
@@ -58,33 +58,32 @@ def assignments(docs: DataFrame, salts: int = SALTS) -> DataFrame:
         .alias("keep_id"),
         "group_size",
     )
+    # One narrow row for each text, which is read twice; the texts are moved for it once.
+    sound = written(sound, "exact-groups")
     rows = docs.select(F.col("doc_id"), F.sha2(text_of(docs), 256).alias("text_sha256"))
+    total = sound.agg(F.sum("group_size")).head()[0] or 0
     # At most HOT groups can hold a HOT-th of all rows each: those are broadcast, so no task gets a hot digest's rows.
-    hot = sound.where(F.col("group_size") * HOT > docs.count()).select(
-        F.col("text_sha256").alias("_hot"), F.col("keep_id").alias("_keep"), F.col("group_size").alias("_size")
-    )
-    marked = rows.join(F.broadcast(hot), F.col("text_sha256") == F.col("_hot"), "left").withColumn(
-        "_key", F.when(F.col("_hot").isNull(), F.col("text_sha256")).otherwise(F.concat(F.lit("-"), F.xxhash64("doc_id").cast("string")))
-    )
-    return marked.join(sound.withColumnRenamed("text_sha256", "_key"), "_key", "left").select(
-        "doc_id",
-        F.coalesce("_keep", "keep_id").alias("keep_id"),
-        F.coalesce("_size", "group_size").alias("group_size"),
-        F.col("doc_id").eqNullSafe(F.coalesce("_keep", "keep_id")).alias("kept"),
-        "text_sha256",
+    return join_groups(rows, sound, "text_sha256", "group_size", total, HOT).select(
+        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
 
 
 def survivors(docs: DataFrame, salts: int = SALTS) -> DataFrame:
-    """The rows that stay, with all their columns; of copies of one row, any one."""
+    """The rows that stay, with all their columns; of copies of one row, any one.
+
+    Whole rows go through the salted and the global stage, so a group's winner comes out of them without a join.
+    """
     names = docs.columns
-    keyed = docs.withColumn("__digest", F.sha2(text_of(docs), 256)).alias("d")
-    kept = (
-        assignments(docs, salts)
-        .where("kept")
-        .select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    )
-    stays = keyed.join(
-        kept, (F.col("d.__digest") == F.col("__sha")) & F.col("d.doc_id").eqNullSafe(F.col("__id")), "left_semi"
+    others = [F.col(c).alias(f"c{i}") for i, c in enumerate(names) if c != "text"]
+    rows = docs.select(
+        F.unhex(F.sha2(text_of(docs), 256)).alias("_digest"),
+        text_of(docs).alias("_text"),
+        # A struct is never null, so null ids compete, too, below all others.
+        F.struct(F.col("doc_id").alias("id")).alias("_id"),
+        F.struct(F.col("text").isNull().alias("null_text"), *others).alias("_row"),
+        (F.spark_partition_id() % salts).alias("_salt"),
     )
-    return stays.dropDuplicates(["__digest", "doc_id"]).select(*names)
+    best = [F.max_by("_row", "_id").alias("_row"), F.max("_id").alias("_id")]
+    stays = rows.groupBy("_digest", "_salt", "_text").agg(*best).groupBy("_digest", "_text").agg(*best)
+    back = [F.when(~F.col("_row.null_text"), F.col("_text")).alias(c) if c == "text" else F.col(f"_row.c{i}").alias(c) for i, c in enumerate(names)]
+    return stays.select(*back)

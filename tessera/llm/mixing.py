@@ -24,10 +24,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD, text_of, written
+from tessera.llm.common import WORD, dropped, parts_of, text_of, written
 
 ROUNDS = 16
-_CHUNK = 1 << 14
+_CHUNK, _RUN = 1 << 14, 1024
 
 
 @dataclass(frozen=True)
@@ -154,8 +154,14 @@ def shard_counts(planned: DataFrame, mix: Mix = Mix()) -> DataFrame:
 
 def slots(counts: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """``skey, shard, slot, block``: the block in each slot; *slot* numbers a source's slots over all shards."""
-    before = Window.partitionBy("skey").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = counts.withColumn("_from", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long")))
+    # A source's shards are numbered in runs of _RUN, whose totals come first: no task has all of a source's.
+    run = F.expr(f"shard div {_RUN}L").alias("_run")
+    sums = counts.groupBy("skey", run).agg(F.sum("n").alias("_sum"))
+    earlier = Window.partitionBy("skey").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select("skey", "_run", F.coalesce(F.sum("_sum").over(earlier), F.lit(0).cast("long")).alias("_base"))
+    before = Window.partitionBy("skey", "_run").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    inside = counts.select("*", run).withColumn("_in", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long")))
+    numbered = inside.join(bases, ["skey", "_run"]).withColumn("_from", F.col("_base") + F.col("_in"))
     # A few rows here become very many: they are dealt out before, to a stated number of tasks.
     each = numbered.repartition(_tasks(counts), "skey", "shard").select(
         "skey", "n_blocks", "shard", F.explode(F.expr("sequence(_from, _from + n - 1)")).alias("slot")
@@ -173,7 +179,7 @@ def placed(sizes: DataFrame, planned: DataFrame, mix: Mix = Mix()) -> DataFrame:
         .withColumn("_h", F.xxhash64(F.lit(mix.seed + 2), "doc_id", "tie"))
         .withColumn("_bucket", F.pmod("_h", buckets))
     )
-    keyed = written(keyed, "mix-keyed")
+    keyed = written(keyed, "mix-keyed", parts_of(sizes))
     sums = keyed.groupBy("skey", "_bucket").agg(F.sum("size").alias("_sum"))
     before = Window.partitionBy("skey").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("skey", "_bucket", F.coalesce(F.sum("_sum").over(before), F.lit(0).cast("long")).alias("_base"))
@@ -212,10 +218,12 @@ def mix_blocks(docs: DataFrame, mix: Mix = Mix()) -> tuple[DataFrame, DataFrame]
     The second has a row for each document's part of each slot: ``shard, slot, skey, block, doc_id, tie, start,
     piece_from, piece_words``; words ``piece_from .. piece_from + piece_words`` of the document stand there.
     """
-    sizes = written(sized(docs), "mix-sizes")
-    planned = written(plan(sizes, mix), "mix-plan")
-    where = written(placed(sizes, planned, mix), "mix-placed")
-    drawn = slots(shard_counts(planned, mix), mix)
+    files = parts_of(docs)
+    sizes = written(sized(docs), "mix-sizes", files)
+    planned = written(plan(sizes, mix), "mix-plan", 1)
+    where = written(placed(sizes, planned, mix), "mix-placed", files)
+    drawn = slots(written(shard_counts(planned, mix), "mix-counts", files), mix)
+    dropped(sizes)
     # Sizes before the explode say nothing of those after it, so the join's strategy is stated.
     return where, pieces(where, mix).join(drawn.hint("merge"), ["skey", "block"])
 
@@ -233,12 +241,8 @@ def taken(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     )
 
 
-def mixed_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """The mix as rows of *docs*: each a document's passage in one slot, with the document's other columns.
-
-    ``text`` is the passage with the white space that follows its words; ``n_chars``, where present, is its length.
-    Rows with equal sources, ids and texts have their passages cut from one of them.
-    """
+def _passages(docs: DataFrame, mix: Mix) -> DataFrame:
+    """The columns of *docs* as ``__c0, __c1, ...``, with ``__cut`` (``shard, slot, start, ...``) and ``__text``."""
     names = docs.columns
     _, mixed = mix_blocks(docs, mix)
     key = lambda i, tie, skey: F.concat_ws("|", F.coalesce(i.cast("string"), F.lit("")), tie, skey)
@@ -249,7 +253,7 @@ def mixed_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     ).dropDuplicates(["__key"])
     # A document's passages are cut in one row: they hold at most `most` times its words.
     cuts = mixed.groupBy(key(F.col("doc_id"), F.col("tie"), F.col("skey")).alias("__key")).agg(
-        F.collect_list(F.struct("piece_from", "piece_words")).alias("__cuts")
+        F.collect_list(F.struct("shard", "slot", "start", "piece_from", "piece_words")).alias("__cuts")
     )
     words = F.regexp_extract_all(F.col(f"__c{names.index('text')}"), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
     own = [f"__c{i}" for i in range(len(names))]
@@ -257,13 +261,43 @@ def mixed_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     passage = lambda p: F.array_join(
         F.slice(F.col("__words"), (p["piece_from"] + 1).cast("int"), p["piece_words"].cast("int")), ""
     )
-    passages = joined.select(*own, F.explode(F.transform("__cuts", passage)).alias("__text"))
+    cut = F.explode(F.transform("__cuts", lambda p: F.struct(p.alias("cut"), passage(p).alias("text")))).alias("__p")
+    return joined.select(*own, cut).select(*own, F.col("__p.cut").alias("__cut"), F.col("__p.text").alias("__text"))
+
+
+def mixed_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
+    """The mix as rows of *docs*: each a document's passage in one slot, with the document's other columns.
+
+    ``text`` is the passage with the white space that follows its words; ``n_chars``, where present, is its length.
+    Rows with equal sources, ids and texts have their passages cut from one of them.  :func:`mixed_blocks` gives the
+    slots whole.
+    """
     out = []
-    for i, c in enumerate(names):
+    for i, c in enumerate(docs.columns):
         if c == "text":
             out.append(F.col("__text").alias(c))
         elif c == "n_chars":
             out.append(F.length("__text").cast(docs.schema[c].dataType).alias(c))
         else:
             out.append(F.col(f"__c{i}").alias(c))
-    return passages.select(*out)
+    return _passages(docs, mix).select(*out)
+
+
+def mixed_blocks(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
+    """The mix as blocks: ``source, shard, slot, n_words, text, doc_ids``, one row for each slot.
+
+    A block holds ``block_words`` words, a source's last one what is left; ``doc_ids`` names the documents its passages
+    are from, in order.  Documents that follow one another in a block are parted by a line feed at least.
+    """
+    at = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
+    rows = _passages(docs, mix).select(
+        F.col(at["source"]).cast("string").alias("source"),
+        F.coalesce(F.concat(F.lit("="), F.col(at["source"]).cast("string")), F.lit("")).alias("_skey"),
+        F.col("__cut.shard").alias("shard"),
+        F.col("__cut.slot").alias("slot"),
+        # Passages of a block are few: it has no more than its words.
+        F.struct("__cut.start", "__cut.piece_words", F.col("__text").alias("text"), F.col(at["doc_id"]).alias("id")).alias("_p"),
+    )
+    held = rows.groupBy("_skey", "shard", "slot").agg(F.first("source").alias("source"), F.sort_array(F.collect_list("_p")).alias("_p"))
+    total = F.aggregate("_p", F.lit(0).cast("long"), lambda a, p: a + p["piece_words"])
+    return held.select("source", "shard", "slot", total.alias("n_words"), F.array_join("_p.text", "\n").alias("text"), F.col("_p.id").alias("doc_ids"))

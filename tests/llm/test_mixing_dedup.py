@@ -76,6 +76,18 @@ def test_mixed_passages_are_whole(odd):
     assert made == +taken
 
 
+def test_blocks_have_a_fixed_length(small):
+    mix = mixing.Mix(block_words=100)
+    rows = mixing.mixed_blocks(small, mix).collect()
+    taken = mixing.taken(small, mix).collect()
+    assert len({(r.source, r.slot) for r in rows}) == len(rows)
+    assert all(len(WORDS.findall(r.text)) == r.n_words <= 100 for r in rows)
+    # Of a source's blocks only the last is short; it is drawn twice at most.
+    assert max(Counter(r.source for r in rows if r.n_words < 100).values()) <= 2
+    assert sum(r.n_words for r in rows) == sum(r.taken for r in taken)
+    assert {i for r in rows for i in r.doc_ids} == {r.doc_id for r in taken if r.taken}
+
+
 @pytest.mark.parametrize("salts", [1, 32])
 def test_exact_dedup(odd, salts):
     rows = odd.select("doc_id", "text").collect()
@@ -91,6 +103,13 @@ def test_exact_dedup(odd, salts):
     assert Counter((r.doc_id, r.text or "") for r in stays.collect()) == Counter((i, t) for t, i in keep.items())
 
 
+def test_survivors_of_rows_with_maps_and_nulls(spark):
+    rows = [(None, None, {"a": 1}), (None, "", {"a": 2}), (3, "x", None), (2, "x", {"b": 1}), (3, "x", {"c": 1})]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row map<string,int>").repartition(3)
+    stays = exact_dedup.survivors(docs).collect()
+    assert sorted((r.doc_id is not None, r.doc_id, r.text or "") for r in stays) == [(False, None, ""), (True, 3, "x")]
+
+
 def test_exact_dedup_of_nothing_and_of_one_text(spark, none):
     assert exact_dedup.assignments(none).collect() == [] and exact_dedup.survivors(none).collect() == []
     same = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text")).repartition(8)
