@@ -5,30 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import written
+from tessera.llm.common import dropped, join_held, written
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, files: int | None = None) -> DataFrame:
     """From edges ``a, b``: ``node, label`` for each node in them, the label being the least node it can reach.
 
     Edges and labels stay in tables; each round they are rewritten to the shared folder.  Labels halve their distance
     to the least node each round, so rounds grow with the logarithm of the longest path.  Loops count as edges.
+    A hub's edges, and the nodes of a large class, are not gathered: what they look up has one row, which is broadcast
+    for the few keys that hold over a thousandth of all rows.
     """
-    both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "cc-edges")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label")), "cc-labels")
+    both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "cc-edges", files)
+    first = F.least(F.min("b"), F.col("a"))
+    labels = written(both.groupBy(F.col("a").alias("node")).agg(first.alias("label"), F.count(F.lit(1)).alias("degree")), "cc-labels", files)
+    n_edges, n_nodes = both.count(), labels.count()
     while True:
         near = (
-            both.join(labels, both.b == labels.node)
+            join_held(both, labels.withColumnRenamed("node", "b"), "b", "degree", n_edges)
             .groupBy(F.col("a").alias("node"))
             .agg(F.min("label").alias("__near"))
         )
-        stepped = labels.join(near, "node").select(
-            "node", F.col("label").alias("__old"), F.least("label", "__near").alias("__to")
+        stepped = written(
+            labels.join(near, "node").select("node", "degree", F.col("label").alias("__old"), F.least("label", "__near").alias("__to")), "cc-steps", files
         )
-        ahead = labels.select(F.col("node").alias("__to"), F.col("label").alias("__next"))
+        held = stepped.groupBy("__to").agg(F.count(F.lit(1)).alias("__n"))
+        ahead = written(labels.select(F.col("node").alias("__to"), F.col("label").alias("__next")).join(held, "__to"), "cc-ahead", files)
         moved = written(
-            stepped.join(ahead, "__to").select("node", "__old", F.least("__to", "__next").alias("label")), "cc-labels"
+            join_held(stepped, ahead, "__to", "__n", n_nodes).select("node", "degree", "__old", F.least("__to", "__next").alias("label")), "cc-labels", files
         )
-        labels = moved.select("node", "label")
+        dropped(stepped, ahead, labels)
+        labels = moved.select("node", "label", "degree")
+        labels._tessera_path = moved._tessera_path
         if moved.where("__old <> label").isEmpty():
-            return labels
+            dropped(both)
+            return labels.select("node", "label")

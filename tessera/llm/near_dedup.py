@@ -38,12 +38,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textnp
-from tessera.llm.common import join_groups, text_of, written
+from tessera.llm.common import dropped, join_groups, join_held, parts_of, text_of, written
 from tessera.llm.components import components
 
 WORDS, SKETCHES, TAKE, SHORT_TAKE = 5, 32, 6, 2
 LONG_FROM, SHORT_TO = 16, 24
 STARS = 5
+#: Tasks that the pairs of one leader are dealt to.
+SALTS = 64
 #: Members, and runs of all members, of the blocks a family is dealt to; runs compared at a time.
 BLOCK, BLOCK_RUNS, COLUMNS = 256, 200_000, 2048
 _U = np.uint64
@@ -108,9 +110,8 @@ def _family(runs: np.ndarray, firsts: np.ndarray, chosen: np.ndarray, take: int)
     return out
 
 
-def sketches(offsets: np.ndarray, data: np.ndarray) -> list[np.ndarray]:
-    """Each text's bucket keys."""
-    runs, firsts = runs_of(offsets, data)
+def sketches(runs: np.ndarray, firsts: np.ndarray) -> list[np.ndarray]:
+    """The bucket keys of each text, from its runs."""
     sizes = np.diff(firsts)
     runs = _labelled(runs, np.repeat(np.arange(len(sizes)), sizes))
     out = [np.zeros(0, np.uint64)] * len(sizes)
@@ -123,7 +124,7 @@ def sketches(offsets: np.ndarray, data: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def common(a: np.ndarray, b: np.ndarray, reach: int, masks: dict[int, int] | None = None) -> int:
+def common(a: np.ndarray, b: np.ndarray, reach: int) -> int:
     """The longest common subsequence, matching places at most *reach* apart."""
     n = min(len(a), len(b))
     differ = a[:n] != b[:n]
@@ -163,7 +164,7 @@ def _node(docs: DataFrame) -> Column:
 
 
 def _keys(docs: DataFrame) -> DataFrame:
-    """``node, keys``: bucket keys of the texts; a node may occur once a task."""
+    """``node, keys, runs``: bucket keys of the texts, and their runs as 32-bit hashes; a node may occur once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -174,42 +175,25 @@ def _keys(docs: DataFrame) -> DataFrame:
                 continue
             own = batch.take(pa.array(fresh))
             offsets, data = textnp.utf8(own.column(1))
-            for a, b in textnp.slices(offsets):
-                keys = sketches(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]])
-                ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-                flat = np.concatenate(keys).view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([own.column(0).slice(a, b - a), lists], names=["node", "keys"])
-
-    rows = docs.select(_node(docs).alias("node"), text_of(docs).alias("text"))
-    return rows.mapInArrow(run, "node binary, keys array<bigint>")
-
-
-def _sequences(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """``node, runs``: the runs of the texts of *needed* nodes as 32-bit hashes; a node may occur once a task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        for batch in batches:
-            nodes = batch.column(0).to_pylist()
-            fresh = [i for i, x in enumerate(nodes) if not (x in seen or seen.add(x))]
-            own = batch.take(pa.array(fresh, pa.int64()))
-            offsets, data = textnp.utf8(own.column(1))
             for a, b in textnp.slices(offsets):
                 runs, firsts = runs_of(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]])
-                short = (runs >> _U(32)).astype("<u4")
-                made = [short[x:y].tobytes() for x, y in zip(firsts[:-1], firsts[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [own.column(0).slice(a, b - a), pa.array(made, pa.binary())], names=["node", "runs"]
-                )
+                keys = sketches(runs, firsts)
+                ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys).view(np.int64)))
+                short = pa.py_buffer((runs >> _U(32)).astype("<u4"))
+                edges = pa.py_buffer((firsts * 4).astype(np.int64))
+                made = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b - a, [None, edges, short]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([own.column(0).slice(a, b - a), lists, made], names=["node", "keys", "runs"])
 
     rows = docs.select(_node(docs).alias("node"), text_of(docs).alias("text"))
-    # Copies are cut to one for each task before the join moves texts.
-    return rows.join(needed, "node", "left_semi").mapInArrow(run, "node binary, runs binary").distinct()
+    return rows.mapInArrow(run, "node binary, keys array<bigint>, runs binary")
 
 
 def _align(pairs: DataFrame, runs: DataFrame) -> DataFrame:
-    """``a, b, m, linked`` of pairs ``a, b``."""
+    """``a, b, m, linked`` of pairs ``a, b``.
+
+    A star's leader stands in many pairs: they are dealt to ``SALTS`` tasks, for which its runs are repeated.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,9 +206,14 @@ def _align(pairs: DataFrame, runs: DataFrame) -> DataFrame:
                 names=["a", "b", "m", "linked"],
             )
 
-    first = runs.select(F.col("node").alias("a"), F.col("runs").alias("ra"))
-    second = runs.select(F.col("node").alias("b"), F.col("runs").alias("rb"))
-    return pairs.join(second, "b").join(first, "a").select("a", "b", "ra", "rb").mapInArrow(run, "a binary, b binary, m bigint, linked boolean")
+    salts = lambda c: F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int")
+    salted = pairs.select("a", "b", salts("a").alias("sa"), salts("b").alias("sb"))
+    # Either end of a pair can be the leader.
+    side = lambda own, salt, to: runs.join(salted.select(F.col(own).alias("node"), salt).distinct(), "node").select(
+        F.col("node").alias(own), salt, F.col("runs").alias(to)
+    )
+    both = salted.join(side("b", "sa", "rb"), ["b", "sa"]).join(side("a", "sb", "ra"), ["a", "sb"])
+    return both.select("a", "b", "ra", "rb").mapInArrow(run, "a binary, b binary, m bigint, linked boolean")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -259,30 +248,47 @@ def _tokens(nodes: DataFrame) -> DataFrame:
     return nodes.select("id", "label", "runs").mapInArrow(run, "id bigint, label binary, token bigint")
 
 
-def _families(nodes: DataFrame) -> DataFrame:
+def _families(nodes: DataFrame, files: int | None = None) -> DataFrame:
     """``id, family``: nodes that can have a link to another class; both ends of any such link are in one family.
 
     A link takes 4/5 of either text's runs, all of them held by two classes.  Of a text's *k* such runs, ranked from
     rare to common, one of the first k - t + 1 is in common with a partner that shares t or more.
     """
     tokens = _tokens(nodes)
-    shared = (
+    shared = written(
         tokens.groupBy("token")
         .agg(F.count(F.lit(1)).alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi"))
         .where("lo <> hi")
-        .select("token", "df")
+        .select("token", "df"),
+        "near-shared",
+        files,
+    )
+    total = nodes.agg(F.sum("n")).head()[0] or 0
+    ranked = (
+        join_held(tokens, shared.withColumn("held_by", F.col("df")), "token", "held_by", total)
+        .groupBy("id")
+        .agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("held"))
     )
-    ranked = tokens.join(shared, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("held"))
     least = F.floor((F.col("n") * 4 + 4) / 5).cast("int")
     heads = written(
         ranked.join(nodes.select("id", "label", "n"), "id")
         .where(F.size("held") >= least)
         .select("id", "label", F.explode(F.slice(F.col("held")["token"], F.lit(1), F.size("held") - least + 1)).alias("token")),
         "near-heads",
+        files,
+    )
+    tops = written(
+        heads.groupBy("token")
+        .agg(F.min("id").alias("b"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("k"))
+        .where("lo <> hi")
+        .select("token", "b", "k"),
+        "near-tops",
+        files,
     )
-    tops = heads.groupBy("token").agg(F.min("id").alias("b"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token", "b")
-    edges = written(heads.join(tops, "token").select(F.col("id").alias("a"), "b").distinct(), "near-edges")
-    return components(edges).select(F.col("node").alias("id"), F.col("label").alias("family"))
+    edges = written(join_held(heads, tops, "token", "k", heads.count()).select(F.col("id").alias("a"), "b").distinct(), "near-edges", files)
+    out = components(edges, files).select(F.col("node").alias("id"), F.col("label").alias("family"))
+    dropped(shared, heads, tops, edges)
+    return out
 
 
 def _within(rows: list[tuple]) -> list[tuple[bytes, bytes, int, bool]]:
@@ -334,7 +340,7 @@ def _within(rows: list[tuple]) -> list[tuple[bytes, bytes, int, bool]]:
     return out
 
 
-def _rest(open_: DataFrame, runs: DataFrame) -> DataFrame:
+def _rest(open_: DataFrame, runs: DataFrame, files: int | None = None) -> DataFrame:
     """``a, b, m, linked``: links enough to join all classes that links between the nodes of *open_* join, and other pairs aligned."""
     nodes = written(
         open_.select("node", "label")
@@ -342,14 +348,20 @@ def _rest(open_: DataFrame, runs: DataFrame) -> DataFrame:
         .join(runs, "node")
         .select(F.monotonically_increasing_id().alias("id"), "node", "label", "runs", (F.length("runs") / 4).cast("long").alias("n")),
         "near-open",
+        files,
     )
-    held = written(nodes.join(_families(nodes), "id"), "near-families")
-    sizes = held.groupBy("family").agg(
-        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_RUNS)).cast("int").alias("blocks"),
+    held = written(nodes.join(_families(nodes, files), "id"), "near-families", files)
+    sizes = written(
+        held.groupBy("family").agg(
+            F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_RUNS)).cast("int").alias("blocks"),
+            F.count(F.lit(1)).alias("members"),
+        ),
+        "near-sizes",
+        files,
     )
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = (
-        held.join(sizes, "family")
+        join_held(held, sizes, "family", "members", held.count())
         .select("family", own.alias("own"), "node", "label", "runs", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         .select(
             F.struct("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).alias("pair"),
@@ -377,82 +389,116 @@ def _rest(open_: DataFrame, runs: DataFrame) -> DataFrame:
 
     tasks = max(int(open_.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     grouped = dealt.repartition(tasks, "f", "i", "j").sortWithinPartitions("f", "i", "j")
-    return written(grouped.mapInArrow(run, "a binary, b binary, m bigint, linked boolean"), "near-tested")
+    out = written(grouped.mapInArrow(run, "a binary, b binary, m bigint, linked boolean"), "near-tested", files)
+    dropped(nodes, held, sizes)
+    return out
 
 
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(a, b, m, linked)`` of all node pairs aligned, and ``(node, label)``: the classes of linked nodes."""
-    keyed = written(_keys(docs), "near-keys")
+    files = parts_of(docs)
+    keyed = written(_keys(docs), "near-keys", 2 * files)
     each = keyed.select("node", F.explode("keys").alias("key"))
+    n_keys = keyed.agg(F.sum(F.size("keys"))).head()[0] or 0
 
     def leader(seed: int) -> Column:
         return F.min(F.struct(F.xxhash64("node", F.lit(seed)).alias("h"), "node"))["node"]
 
     tops = written(
         each.groupBy("key")
-        .agg(leader(0).alias("leader"), F.min("node").alias("lo"), F.max("node").alias("hi"))
+        .agg(leader(0).alias("leader"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("size"))
         .where("lo <> hi")
-        .select("key", "leader"),
+        .select("key", "leader", "size"),
         "near-leaders",
+        files,
     )
-    members = written(each.join(tops, "key"), "near-members")
+    # A bucket may hold a third of all texts: its one row of what is looked up is broadcast then.
+    members = written(join_held(each, tops, "key", "size", n_keys).select("key", "node", "leader"), "near-members", files)
+    n_members = members.count()
+    # The texts themselves are read once; copies were cut to one for each task.
     needed = members.select("node").distinct()
-    runs = written(_sequences(docs, needed), "near-runs")
+    runs = written(keyed.select("node", "runs").join(needed, "node", "left_semi").distinct(), "near-runs", files)
     none = docs.sparkSession.createDataFrame([], "node binary, label binary")
     stars = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
-    tested = written(_align(_ordered(stars), runs), "near-tested")
-    labels = components(tested.where("linked").select("a", "b")) if not tested.where("linked").isEmpty() else none
+    pairs = written(_ordered(stars), "near-pairs", files)
+    tested = written(_align(pairs, runs), "near-tested", files)
+    dropped(keyed, pairs)
+    labels = components(tested.where("linked").select("a", "b"), files) if not tested.where("linked").isEmpty() else none
 
     def merged(labels: DataFrame, new: DataFrame) -> DataFrame:
         """Classes after more links, found by the components of the classes they join."""
         name = lambda c, to: labels.select(F.col("node").alias(c), F.col("label").alias(to))
-        over = (
+        over = written(
             new.where("linked")
             .join(name("a", "la"), "a", "left")
             .join(name("b", "lb"), "b", "left")
-            .select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+            .select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")),
+            "near-over",
+            files,
         )
-        roots = components(over).withColumnsRenamed({"node": "root", "label": "to"})
-        old = labels.unionByName(over.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node")))
-        return written(
-            old.join(roots, old.label == roots.root, "left").groupBy("node").agg(F.min(F.coalesce("to", "label")).alias("label")), "near-labels"
+        roots = components(over, files).select(F.col("node").alias("label"), F.col("label").alias("to"))
+        old = written(
+            labels.unionByName(over.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node"))), "near-old", files
         )
+        sizes = old.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+        out = written(
+            join_groups(old, roots.join(sizes, "label"), "label", "size", old.count())
+            .groupBy("node")
+            .agg(F.min(F.coalesce("to", "label")).alias("label")),
+            "near-labels",
+            files,
+        )
+        dropped(over, old)
+        return out
 
     def active(labels: DataFrame) -> DataFrame:
-        """Members of buckets that hold several classes, with their class."""
+        """Members of buckets that hold several classes, with their class and the bucket's size."""
         named = written(
-            members.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "near-named"
+            members.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "near-named", files
         )
-        mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-        return written(named.join(written(mixed, "near-mixed"), "key", "left_semi").distinct(), "near-active")
-
-    def align_new(pairs: DataFrame) -> DataFrame:
-        fresh = _ordered(pairs).join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        return written(_align(fresh, runs), "near-tested")
+        mixed = written(
+            named.groupBy("key")
+            .agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size"))
+            .where("lo <> hi")
+            .select("key", "size", F.col("size").alias("held_by")),
+            "near-mixed",
+            files,
+        )
+        out = written(join_held(named, mixed, "key", "held_by", n_members).distinct(), "near-active", files)
+        dropped(named, mixed)
+        return out
 
     for star in range(1, STARS + 1):
         open_ = active(labels)
         if open_.isEmpty():
-            return tested, labels
+            break
         if star < STARS:
             heads = written(
-                open_.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(star)).alias("h"), "node", "label")).alias("t")), "near-heads"
+                open_.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(star)).alias("h"), "node", "label")).alias("t"), F.max("size").alias("k")),
+                "near-heads",
+                files,
             )
-            new = align_new(open_.join(heads, "key").where("label <> t.label").select(F.col("t.node").alias("a"), F.col("node").alias("b")))
+            stars = join_held(open_, heads, "key", "k", n_members).where("label <> t.label").select(F.col("t.node").alias("a"), F.col("node").alias("b"))
+            pairs = written(_ordered(stars).join(tested.select("a", "b"), ["a", "b"], "left_anti"), "near-pairs", files)
+            new = written(_align(pairs, runs), "near-tested", files)
+            dropped(pairs, heads)
         else:
-            new = _rest(open_, runs)
+            new = _rest(open_, runs, files)
+        dropped(open_)
         tested = tested.unionByName(new)
         if not new.where("linked").isEmpty():
             labels = merged(labels, new)
+    dropped(tops, members, runs)
     return tested, labels
 
 
 def _classes(docs: DataFrame) -> DataFrame:
-    rows = written(docs.select("doc_id", _node(docs).alias("node")), "near-rows")
-    nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")), "near-nodes")
+    files = parts_of(docs)
+    rows = written(docs.select("doc_id", _node(docs).alias("node")), "near-rows", files)
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n"))
     _, labels = links(docs)
     named = written(
-        nodes.join(labels, "node", "left").select("node", "id", "n", F.coalesce("label", "node").alias("label")), "near-labelled"
+        nodes.join(labels, "node", "left").select("node", "id", "n", F.coalesce("label", "node").alias("label")), "near-labelled", files
     )
     total = rows.count()
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node"))
@@ -461,10 +507,12 @@ def _classes(docs: DataFrame) -> DataFrame:
         .agg(best.alias("best"), F.sum("n").alias("class_size"))
         .select("label", F.col("best.id").alias("class_id"), F.col("best.node").alias("best"), "class_size"),
         "near-classes",
+        files,
     )
     of_node = written(
-        join_groups(named, groups, "label", "class_size", total).select("node", "class_id", "class_size", "best", "n"), "near-of-node"
+        join_groups(named, groups, "label", "class_size", total).select("node", "class_id", "class_size", "best", "n"), "near-of-node", files
     )
+    dropped(named, groups)
     return join_groups(rows, of_node, "node", "n", total).select(
         "doc_id",
         "class_id",

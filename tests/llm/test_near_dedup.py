@@ -30,8 +30,8 @@ def test_alignment_equals_plain_dynamic_programming():
         assert near_dedup.linked(np.array(a), np.array(b))[0] == (9 * m >= 4 * (len(a) + len(b)))
 
 
-def _brute(rows):
-    """Class of each text by aligning all pairs that have a run in common."""
+def _groups(rows):
+    """The ids of each class, by aligning all pairs of texts that have a run in common."""
     texts = sorted({r.text or "" for r in rows})
     runs, firsts = near_dedup.runs_of(*textnp.utf8(pa.array(texts, pa.large_string())))
     own = [runs[x:y] for x, y in zip(firsts[:-1], firsts[1:], strict=True)]
@@ -52,8 +52,13 @@ def _brute(rows):
     ids = defaultdict(list)
     for r in rows:
         ids[find(texts.index(r.text or ""))].append(r.doc_id)
+    return list(ids.values())
+
+
+def _brute(rows):
+    """``(id, class's id, class's size)`` of each row."""
     out = Counter()
-    for members in ids.values():
+    for members in _groups(rows):
         least = min((i for i in members if i is not None), default=None)
         out.update((i, least, len(members)) for i in members)
     return out
