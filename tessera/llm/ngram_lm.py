@@ -1,21 +1,24 @@
-"""An interpolated modified Kneser-Ney bigram model: counted in Spark, kept as sorted hash arrays, scored by workers.
+"""An interpolated modified Kneser-Ney n-gram model: counted in Spark, kept as sorted hash arrays, scored by workers.
 
 Words are maximal runs of characters other than space and U+0009..U+000D, with A-Z in lower case; each text ends
-with one end token, and its first token follows a begin mark that is no token itself.
+with one end token, and before its first token stand begin marks that are no tokens themselves.
 
-Counting.  Each task cuts its pairs of tokens into *buckets* by ranges of the first word's hash, counts them in bulk
-and sends one packed row for each bucket; a reducer merges a bucket's rows as they come.  What one context holds is
-bounded by the vocabulary, however common the word.  The number of buckets grows with the corpus.
+Counting.  A task cuts the n-grams of its texts into *buckets* by ranges of the hash of the word before the last,
+counts them in bulk and sends one packed row for each bucket; a reducer merges a bucket's rows as they come.  All lower
+orders down to pairs come from the same bucket: their counts are those of different words to the left.  The number of
+buckets grows with the corpus.  A word that stands before more than a bucket's share of tokens, as a sample of the texts
+shows, has buckets of its own, over which its n-grams are dealt by the last word; that decides the layout only.
 
-Storage.  For each bucket there are flat arrays in the shared folder, sorted by hash: contexts (64-bit hash, total and
-count-of-count numbers), pairs (context's number in 20 bits, 44 bits of the next word's hash) with their counts, and
-words (64-bit hash, count, number of distinct contexts).  Workers map the files into memory and look up tokens in
-sorted order; nothing is loaded whole, and the driver keeps a few sums.  Files are written aside and renamed, so a
-task that runs twice leaves the same file.  Workers must see the shared folder as a mounted path (``file:``).
+Storage.  For each bucket and order there are flat arrays in the shared folder, sorted by hash: contexts (64 bits) with
+totals and count-of-count numbers, and n-grams (64 bits) with their counts; for each bucket of words, their hashes,
+counts and numbers of distinct words to the left.  Workers map the files into memory and look up tokens in sorted
+order; nothing is loaded whole, and the driver keeps a few sums.  Files are written aside and renamed, so a task that
+runs twice leaves the same file.  Workers must see the shared folder as a mounted path (``file:``).
 
-Model.  P(w|v) = max(c(vw) - D(c), 0) / c(v) + g(v) P(w), with P(w) from the number of contexts of w, likewise
-discounted and interpolated with the uniform 1 / (V + 1) over the vocabulary and one unknown word.  Discounts for
-counts of 1, 2 and more are those of modified Kneser-Ney; where a count of counts is zero, the discount is a half.
+Model.  P(w|h) = max(c(hw) - D(c), 0) / c(h) + g(h) P(w|h'), where h' lacks the first word of h: c are counts in the
+highest order and numbers of different words to the left in the others, ending with the uniform 1 / (V + 1) over the
+vocabulary and one unknown word.  Discounts for counts of 1, 2 and more are those of modified Kneser-Ney, by order;
+where a count of counts is zero, the discount is a half.
 
 Null texts are empty.  Without training rows every text has probability 1 and N = V = 0.
 """
@@ -35,12 +38,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import textnp
-from tessera.llm.common import new_path, text_of, written
+from tessera.llm.common import dropped, new_path, text_of, written
 
 _U = np.uint64
 BEGIN, END = _U(0x0B5E5B1A6E0C4D21), _U(0xC3A5C85C97CB3127)
 _PART = _U(20)  # a word's hash without these low bits tells it from others after one context
-CHUNK_TOKENS, BUCKET_CHARS = 1 << 21, 4 << 20
+_STEP, _JOIN = _U(0xD6E8FEB86659FD93), _U(0x9FB21C651E98DF25)
+CHUNK_TOKENS, BUCKET_CHARS, SCORE_BYTES = 1 << 20, 4 << 20, 4 << 20
+#: One text in so many is looked at for words that stand before very many others.
+SAMPLE = 64
 
 
 def local_path(uri: str) -> str:
@@ -51,8 +57,8 @@ def local_path(uri: str) -> str:
     return at.path
 
 
-def tokens(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(context, token, firsts)``: the hashes of every token and of what stands before it; ends are tokens."""
+def tokens(offsets: np.ndarray, data: np.ndarray, order: int = 2) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """``(contexts, token, firsts)``: the hashes of every token and of the 1, 2, ... tokens before it; ends are tokens."""
     words, firsts = textnp.hash_words(offsets, data, lower=True)
     n = len(offsets) - 1
     ends = firsts[1:] + np.arange(n)
@@ -61,11 +67,48 @@ def tokens(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarra
     is_end[ends] = True
     token[is_end] = END
     token[~is_end] = words
-    context = np.empty_like(token)
-    context[1:] = token[:-1]
     starts = np.concatenate([[0], ends[:-1] + 1]) if n else np.zeros(0, np.int64)
-    context[starts] = BEGIN
-    return context, token, np.append(starts, len(token))
+    place = np.arange(len(token)) - np.repeat(starts, np.diff(np.append(starts, len(token))))
+    contexts: list[np.ndarray] = []
+    for j in range(1, order):
+        before = np.full(len(token), BEGIN)
+        before[j:] = np.where(place[j:] >= j, token[:-j], BEGIN)
+        contexts.append(textnp.mix(contexts[-1] * _STEP + before) if contexts else before)
+    return contexts, token, np.append(starts, len(token))
+
+
+def gram(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The hash of an n-gram from its context's and the last word's high bits."""
+    return textnp.mix(context * _JOIN + word)
+
+
+@dataclass(frozen=True)
+class Layout:
+    """Which bucket an n-gram is in: by ranges of the hash of the word before the last; *hot* words have their own."""
+
+    buckets: int
+    #: hash of the word, its first bucket, its number of buckets; sorted by hash.
+    hot: tuple[tuple[int, int, int], ...] = ()
+
+    def __post_init__(self) -> None:
+        object.__setattr__(self, "_hot", np.array([h for h, _, _ in self.hot], np.uint64))
+        object.__setattr__(self, "_own", np.array([x[1:] for x in self.hot], np.int64).reshape(-1, 2))
+
+    def of_hot(self, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which words are hot, and their places in the list."""
+        if not self.hot:
+            return np.zeros(len(before), bool), np.zeros(len(before), np.int64)
+        at = np.minimum(np.searchsorted(self._hot, before), len(self._hot) - 1)
+        return self._hot[at] == before, at
+
+    def bucket(self, before: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The bucket of n-grams whose word before the last is *before* and whose last, without low bits, is *word*."""
+        out = bucket_of(before, self.buckets)
+        hot, at = self.of_hot(before)
+        if hot.any():
+            first, n = self._own[at[hot]].T
+            out[hot] = first + (word[hot] % n.astype(np.uint64)).astype(np.int64)
+        return out
 
 
 def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -82,46 +125,56 @@ def _from_six(b: bytes) -> np.ndarray:
     return out.reshape(-1).view("<u8").astype(np.uint64)
 
 
-def _merge(v: np.ndarray, w: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (v, w) in order with their counts summed."""
+def _merge(v: np.ndarray, w: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (v, w) in order with their counts summed, and where each was first found."""
     if not len(v):
-        return v, w, c
+        return v, w, c, np.zeros(0, np.int64)
     order = np.lexsort((w, v))
     v, w, c = v[order], w[order], c[order]
     new = np.ones(len(v), bool)
     new[1:] = (v[1:] != v[:-1]) | (w[1:] != w[:-1])
     at = np.flatnonzero(new)
-    return v[at], w[at], np.add.reduceat(c, at)
+    return v[at], w[at], np.add.reduceat(c, at), order[at]
 
 
 _PACKED = ["bucket", "contexts", "sizes", "words", "counts"]
 
 
-def _packed(context: np.ndarray, token: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """One row for each bucket: its pairs, counted, grouped by context."""
-    names, inverse = np.unique(context, return_inverse=True)
+def _packed(contexts: list[np.ndarray], token: np.ndarray, layout: Layout) -> pa.RecordBatch:
+    """One row for each bucket: its n-grams, counted, grouped by context; contexts of all lengths stand side by side."""
+    names, first, inverse = np.unique(contexts[-1], return_index=True, return_inverse=True)
+    every = np.stack([c[first] for c in contexts], axis=1)
     if len(names) <= 1 << 20:
         pair, count = np.unique((inverse.astype(np.uint64) << _U(44)) | (token >> _PART), return_counts=True)
         owner, word = (pair >> _U(44)).astype(np.int64), pair & _U((1 << 44) - 1)
     else:  # the contexts' numbers do not fit beside the words
-        owner, word, count = _merge(inverse, token >> _PART, np.ones(len(token), np.int64))
-    sizes = np.bincount(owner, minlength=len(names))
-    bucket = bucket_of(names, buckets)
-    found, first = np.unique(bucket, return_index=True)
-    first = np.append(first, len(names))
-    ends = np.concatenate([[0], np.cumsum(sizes)])
+        owner, word, count, _ = _merge(inverse, token >> _PART, np.ones(len(token), np.int64))
+    bucket = layout.bucket(every[owner, 0], word)
+    order = np.argsort(bucket, kind="stable")
+    bucket, owner, word, count = bucket[order], owner[order], word[order], count[order]
+    starts = np.flatnonzero(np.diff(bucket, prepend=-1) | np.diff(owner, prepend=-1))
+    heads, sizes = every[owner[starts]], np.diff(np.append(starts, len(owner)))
+    found, at = np.unique(bucket[starts], return_index=True)
+    at = np.append(at, len(starts))
+    edges = np.append(starts, len(owner))
     columns: list[list] = [[], [], [], [], []]
-    for b, x, y in zip(found.tolist(), first[:-1], first[1:], strict=True):
-        low, high = ends[x], ends[y]
+    for b, x, y in zip(found.tolist(), at[:-1], at[1:], strict=True):
+        low, high = edges[x], edges[y]
         for column, value in zip(
             columns,
-            (b, names[x:y].astype("<u8").tobytes(), sizes[x:y].astype("<u4").tobytes(), _six(word[low:high]), count[low:high].astype("<u4").tobytes()),
+            (b, heads[x:y].astype("<u8").tobytes(), sizes[x:y].astype("<u4").tobytes(), _six(word[low:high]), count[low:high].astype("<u4").tobytes()),
             strict=True,
         ):
             column.append(value)
     return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *[pa.array(c, pa.binary()) for c in columns[1:]]], names=_PACKED)
 
 
+def _small(array: np.ndarray) -> np.ndarray:
+    """Numbers that are not negative, in the narrowest kind that holds them; its width is told by the file's size."""
+    most = int(array.max(initial=0))
+    return array.astype(next(k for k in ("<u1", "<u2", "<u4", "<u8") if most < 1 << (8 * int(k[2]))))
+
+
 def _save(path: str, array: np.ndarray) -> None:
     aside = f"{path}.{os.getpid()}.{os.urandom(4).hex()}"
     array.tofile(aside)
@@ -165,113 +218,175 @@ class Model:
     """Where the arrays are, and the corpus's sums."""
 
     folder: str
-    buckets: int
+    order: int
+    layout: Layout
     train_tokens: int
     vocabulary: int
-    pairs: Discounts
-    words: Discounts
+    #: By order: of words, pairs, ...
+    discounts: tuple[Discounts, ...]
     pair_types: int
     word_counts: tuple[int, int, int]
 
 
-def train(docs: DataFrame, chosen: Column) -> Model:
-    """Count the rows of *docs* that *chosen* holds for."""
+def _layout(rows: DataFrame, chars: int) -> Layout:
+    """Buckets by the corpus's size, and the words that overflow them by a sample of one text in ``SAMPLE``."""
+    buckets = max(1, math.ceil(chars / BUCKET_CHARS))
+    if buckets < 8:
+        return Layout(buckets)
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offsets, data = textnp.utf8(batch.column(0))
+            for a, b in textnp.slices(offsets):
+                (before,), _, _ = tokens(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]])
+                word, n = np.unique(before, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], names=["word", "n"])
+
+    chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
+    counted = chosen.mapInArrow(heads, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    total = counted.agg(F.sum("n")).head()[0] or 0
+    # No more than twice as many words as buckets can hold half a bucket each.
+    found = counted.where(F.col("n") * (2 * buckets) > total).collect()
+    hot, at = [], buckets
+    for word, n in sorted((r.word % (1 << 64), r.n) for r in found):
+        parts = 2 * math.ceil(n * buckets / total)
+        hot.append((word, at, parts))
+        at += parts
+    return Layout(buckets, tuple(hot))
+
+
+def train(docs: DataFrame, chosen: Column, order: int = 2) -> Model:
+    """Count the rows of *docs* that *chosen* holds for; *order* is the length of the longest n-grams, two at least."""
+    if order < 2:
+        raise ValueError("the order is two at least")
     spark = docs.sparkSession
     rows = docs.where(chosen).select(text_of(docs).alias("text"))
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars")).head()
-    buckets = max(1, math.ceil((size.chars or 0) / BUCKET_CHARS))
-    uri = new_path(spark, "ngrams")
-    folder = local_path(uri)
+    layout = _layout(rows, size.chars or 0)
+    buckets = layout.buckets
+    folder = local_path(new_path(spark, "ngrams"))
     os.makedirs(folder, exist_ok=True)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
+
+        def out() -> pa.RecordBatch:
+            contexts, token = zip(*held, strict=True)
+            return _packed([np.concatenate(x) for x in zip(*contexts, strict=True)], np.concatenate(token), layout)
+
         for batch in batches:
             offsets, data = textnp.utf8(batch.column(0))
             for a, b in textnp.slices(offsets):
-                context, token, _ = tokens(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]])
-                held.append((context, token))
+                contexts, token, _ = tokens(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]], order)
+                held.append((contexts, token))
                 n += len(token)
                 if n >= CHUNK_TOKENS:
-                    yield _packed(*(np.concatenate(x) for x in zip(*held, strict=True)), buckets)
+                    yield out()
                     held, n = [], 0
         if held:
-            yield _packed(*(np.concatenate(x) for x in zip(*held, strict=True)), buckets)
+            yield out()
+
+    def level(bucket: int, k: int, v: np.ndarray, w: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Save a bucket's n-grams of order *k*, sorted by context; ``(contexts, totals)``."""
+        names, first = np.unique(v, return_index=True)
+        sums = np.stack([np.add.reduceat(x, first) for x in (c, c == 1, c == 2, c >= 3)], axis=1)
+        key = gram(v, w)
+        rank = np.argsort(key)
+        at = f"{folder}/{bucket}.{k}"
+        _save(f"{at}.contexts", names.astype("<u8"))
+        _save(f"{at}.sums", _small(sums))
+        _save(f"{at}.grams", key[rank].astype("<u8"))
+        _save(f"{at}.counts", _small(c[rank]))
+        return names, sums[:, 0]
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = order - 1
         for bucket, group in _by_bucket(batches):
             v, w, c = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            lower = np.zeros((0, width), np.uint64)
             new, held = [], 0
+
+            def fold(v, w, c, lower, new):  # noqa: ANN001, ANN202
+                top = [np.repeat(x[0][:, -1], x[1]) for x in new]
+                v, w, c, _ = _merge(np.concatenate([v, *top]), np.concatenate([w, *(x[2] for x in new)]), np.concatenate([c, *(x[3] for x in new)]))
+                every = np.concatenate([lower, *(x[0] for x in new)])
+                return v, w, c, every[np.unique(every[:, -1], return_index=True)[1]]
+
             for _, names, sizes, words, counts in group:
-                part = (np.repeat(np.frombuffer(names, "<u8"), np.frombuffer(sizes, "<u4")), _from_six(words), np.frombuffer(counts, "<u4").astype(np.int64))
-                new.append(part)
-                held += len(part[0])
+                sizes = np.frombuffer(sizes, "<u4").astype(np.int64)
+                new.append((np.frombuffer(names, "<u8").reshape(-1, width), sizes, _from_six(words), np.frombuffer(counts, "<u4").astype(np.int64)))
+                held += int(sizes.sum())
                 if held > max(1 << 20, len(v)):
-                    v, w, c = _merge(*(np.concatenate([x, *y]) for x, y in zip((v, w, c), zip(*new, strict=True), strict=True)))
+                    v, w, c, lower = fold(v, w, c, lower, new)
                     new, held = [], 0
             if new:
-                v, w, c = _merge(*(np.concatenate([x, *y]) for x, y in zip((v, w, c), zip(*new, strict=True), strict=True)))
-            names, first = np.unique(v, return_index=True)
-            if len(names) >= 1 << 20:
-                raise ValueError("too many contexts in a bucket")
-            number = np.repeat(np.arange(len(names), dtype=np.uint64), np.diff(np.append(first, len(v))))
-            sums = [np.add.reduceat(x, first) for x in (c, c == 1, c == 2, c >= 3)]
-            _save(f"{folder}/{bucket}.contexts", names.astype("<u8"))
-            _save(f"{folder}/{bucket}.sums", np.stack(sums, axis=1).astype("<i8"))
-            _save(f"{folder}/{bucket}.pairs", (number << _U(44) | w).astype("<u8"))
-            _save(f"{folder}/{bucket}.counts", c.astype("<u4"))
-            # How many of this bucket's contexts each word follows, for the word's own bucket.
+                v, w, c, lower = fold(v, w, c, lower, new)
+            # The raw counts of the words before the last, for the words' own buckets.
+            number = np.searchsorted(lower[:, -1], v)
+            before, inverse = np.unique(lower[number, 0], return_inverse=True)
+            raw = np.bincount(inverse, c, len(before)).astype(np.int64)
+            tokens_here, of_counts, types = int(c.sum()), [], 0
+            for k in range(order, 1, -1):
+                level(bucket, k, v, w, c)
+                of_counts = _of_counts(c) + of_counts
+                types = len(v)
+                if k > 2:
+                    # The next order's counts are the different words to the left.
+                    rows_of = lower[np.searchsorted(lower[:, k - 2], v)]
+                    v, w, c, at = _merge(rows_of[:, k - 3], w, np.ones(len(v), np.int64))
+                    every = rows_of[at]
+                    lower = every[np.unique(every[:, k - 3], return_index=True)[1]]
             word, follows = np.unique(w, return_counts=True)
-            home = bucket_of(word << _PART, buckets)
-            found, at = np.unique(home, return_index=True)
-            at = np.append(at, len(word))
-            known = int((names != BEGIN).sum())
-            sizes = [int(c.sum()), known, len(v), *_of_counts(c)]
-            n = len(found)
+            known = before != BEGIN
+            before, raw = before[known], raw[known]
+            home = np.concatenate([bucket_of(word << _PART, buckets), bucket_of(before, buckets)])
+            found = np.unique(home)
+            words_at, before_at = home[: len(word)], home[len(word) :]
+            sizes = [tokens_here, types, *of_counts]
+            cut = lambda at, x, b: x[np.searchsorted(at, b) : np.searchsorted(at, b, "right")]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(found, pa.int64()),
-                    pa.array([_six(word[x:y]) for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary()),
-                    pa.array([follows[x:y].astype("<u4").tobytes() for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary()),
-                    pa.array([sizes] + [None] * (n - 1), pa.list_(pa.int64())),
+                    pa.array([_six(cut(words_at, word, b)) for b in found], pa.binary()),
+                    pa.array([cut(words_at, follows, b).astype("<u4").tobytes() for b in found], pa.binary()),
+                    pa.array([cut(before_at, before, b).astype("<u8").tobytes() for b in found], pa.binary()),
+                    pa.array([cut(before_at, raw, b).astype("<i8").tobytes() for b in found], pa.binary()),
+                    pa.array([sizes] + [None] * (len(found) - 1), pa.list_(pa.int64())),
                 ],
-                names=["bucket", "words", "follows", "sizes"],
+                names=["bucket", "words", "follows", "names", "totals", "sizes"],
             )
 
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     packed = rows.mapInArrow(count, "bucket bigint, contexts binary, sizes binary, words binary, counts binary")
     merged = packed.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(
-        merge, "bucket bigint, words binary, follows binary, sizes array<bigint>"
+        merge, "bucket bigint, words binary, follows binary, names binary, totals binary, sizes array<bigint>"
     )
     merged = written(merged, "ngram-words")
     n_train = int(size.n)
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.int64)
         for bucket, group in _by_bucket(batches):
-            word, count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-            for _, six, follows in group:
+            word, count, names, total = none.astype(np.uint64), none, none.astype(np.uint64), none
+            for _, six, follows, full, raw in group:
                 # Summed as they come; a bucket's words are far fewer than its rows.
                 word, inverse = np.unique(np.concatenate([word, _from_six(six)]), return_inverse=True)
                 count = np.bincount(inverse, np.concatenate([count, np.frombuffer(follows, "<u4")]), len(word)).astype(np.int64)
-            names, total = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-            if os.path.exists(f"{folder}/{bucket}.contexts"):
-                names = np.fromfile(f"{folder}/{bucket}.contexts", "<u8")
-                # A word is followed as often as it occurs.
-                total = np.fromfile(f"{folder}/{bucket}.sums", "<i8").reshape(-1, 4)[:, 0]
-                total, names = total[names != BEGIN], names[names != BEGIN]
+                names, inverse = np.unique(np.concatenate([names, np.frombuffer(full, "<u8")]), return_inverse=True)
+                total = np.bincount(inverse, np.concatenate([total, np.frombuffer(raw, "<i8")]), len(names)).astype(np.int64)
+            # A word is followed as often as it occurs; only ends are not.
             if int(bucket_of(np.array([END]), buckets)[0]) == bucket:
                 at = int(np.searchsorted(names, END))
                 names, total = np.insert(names, at, END), np.insert(total, at, n_train)
-            place = np.searchsorted(word, names >> _PART)
-            place = np.minimum(place, len(word) - 1)
-            contexts = np.where(word[place] == names >> _PART, count[place], 0)
+            place = np.minimum(np.searchsorted(word, names >> _PART), max(len(word) - 1, 0))
+            contexts = np.where(word[place] == names >> _PART, count[place], 0) if len(word) else np.zeros(len(names), np.int64)
             _save(f"{folder}/{bucket}.words", names.astype("<u8"))
             _save(f"{folder}/{bucket}.occur", np.stack([total, contexts], axis=1).astype("<i8"))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([[*_of_counts(contexts), int((contexts > 2).sum())]], pa.list_(pa.int64()))], names=["sizes"]
+                [pa.array([[len(names), *_of_counts(contexts), int((contexts > 2).sum())]], pa.list_(pa.int64()))], names=["sizes"]
             )
 
-    told = merged.select("bucket", "words", "follows").repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(
+    told = merged.select("bucket", "words", "follows", "names", "totals").repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(
         words_of, "sizes array<bigint>"
     )
 
@@ -279,17 +394,18 @@ def train(docs: DataFrame, chosen: Column) -> Model:
         row = df.where("sizes IS NOT NULL").agg(*[F.sum(F.col("sizes")[i]).alias(f"s{i}") for i in range(n)]).head()
         return [int(x or 0) for x in row]
 
-    word_sizes = summed(told, 5)
-    total, known, types, *of_pairs = summed(merged, 7)
+    known, *of_words = summed(told, 6)
+    total, types, *of_grams = summed(merged, 2 + 4 * (order - 1))
+    dropped(merged)
     return Model(
         folder,
-        buckets,
+        order,
+        layout,
         total,
-        known + (1 if n_train else 0),
-        Discounts.of(of_pairs),
-        Discounts.of(word_sizes[:4]),
+        known,
+        (Discounts.of(of_words[:4]), *(Discounts.of(of_grams[i : i + 4]) for i in range(0, len(of_grams), 4))),
         types,
-        (word_sizes[0], word_sizes[1], word_sizes[4]),
+        (of_words[0], of_words[1], of_words[4]),
     )
 
 
@@ -298,28 +414,29 @@ class Reader:
 
     def __init__(self, model: Model):
         self.model, self.open = model, {}
-        self.pair_discounts, self.word_discounts = model.pairs.array(), model.words.array()
+        self.discounts = [d.array() for d in model.discounts]
         one, two, more = model.word_counts
-        d = model.words
+        d = model.discounts[0]
         self.left = (d.one * one + d.two * two + d.more * more) / model.pair_types if model.pair_types else 1.0
         self.floor = self.left / (model.vocabulary + 1)
 
-    def array(self, bucket: int, name: str, kind: str, width: int = 0) -> np.ndarray:
-        key = (bucket, name)
-        if key not in self.open:
-            path = f"{self.model.folder}/{bucket}.{name}"
-            made = np.memmap(path, kind, "r") if os.path.exists(path) and os.path.getsize(path) else np.zeros(0, kind)
-            self.open[key] = made.reshape(-1, width) if width else made
-        return self.open[key]
-
-    def _runs(self, hashes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """``(bucket, places, hashes)`` with the hashes sorted."""
-        order = np.argsort(hashes)
-        ranked = hashes[order]
-        bucket = bucket_of(ranked, self.model.buckets)
-        at = np.flatnonzero(np.diff(bucket, prepend=-1))
-        for x, y in zip(at, np.append(at[1:], len(ranked)), strict=True):
-            yield int(bucket[x]), order[x:y], ranked[x:y]
+    def array(self, name: str, rows: int | None = None, width: int = 1) -> np.ndarray:
+        """A file of 64-bit values, or of *rows* times *width* values of any size."""
+        if name not in self.open:
+            path = f"{self.model.folder}/{name}"
+            size = os.path.getsize(path) if os.path.exists(path) else 0
+            kind = f"<u{size // (rows * width)}" if rows and size else "<u8"
+            made = np.memmap(path, kind, "r") if size else np.zeros(0, kind)
+            self.open[name] = made.reshape(-1, width) if width > 1 else made
+        return self.open[name]
+
+    @staticmethod
+    def _runs(bucket: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """``(bucket, places)`` of the rows of each bucket.  A bucket's arrays fit in a cache, so rows need no order."""
+        order = np.argsort(bucket.astype(np.uint16) if bucket.max(initial=0) < 1 << 16 else bucket, kind="stable")
+        ranked = bucket[order]
+        at = np.flatnonzero(np.diff(ranked, prepend=-1))
+        return [(int(ranked[x]), order[x:y]) for x, y in zip(at, np.append(at[1:], len(ranked)), strict=True)]
 
     @staticmethod
     def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -328,32 +445,49 @@ class Reader:
         at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
         return at, table[at] == keys
 
-    def look_up(self, context: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """``(count, probability)`` of each token after its context."""
-        m = self.model
+    def _sums(self, k: int, bucket: int, context: np.ndarray, places: np.ndarray, into: np.ndarray) -> None:
+        """Add what a bucket holds of the contexts at *places* to those rows of *into*."""
+        names = self.array(f"{bucket}.{k}.contexts")
+        at, there = self._find(names, context[places])
+        if there.any():
+            into[places[there]] += self.array(f"{bucket}.{k}.sums", len(names), 4)[at[there]].astype(np.int64)
+
+    def look_up(self, contexts: list[np.ndarray], token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(count, probability)`` of each token after its contexts."""
+        m, layout = self.model, self.model.layout
         count, p = np.zeros(len(token), np.int64), np.full(len(token), self.floor)
-        for bucket, places, hashes in self._runs(token):
-            at, there = self._find(self.array(bucket, "words", "<u8"), hashes)
-            at, places = at[there], places[there]
+        for b, own in self._runs(bucket_of(token, layout.buckets)):
+            at, there = self._find(self.array(f"{b}.words"), token[own])
+            at, places = at[there], own[there]
             if len(at):
-                occur = self.array(bucket, "occur", "<i8", 2)[at]
+                occur = self.array(f"{b}.occur").reshape(-1, 2)[at].astype(np.int64)
                 count[places] = occur[:, 0]
-                contexts = occur[:, 1]
-                p[places] += (contexts - self.word_discounts[np.minimum(contexts, 3)]) / m.pair_types
-        for bucket, places, hashes in self._runs(context):
-            at, there = self._find(self.array(bucket, "contexts", "<u8"), hashes)
-            at, places = at[there], places[there]
-            if not len(at):
-                continue
-            sums = self.array(bucket, "sums", "<i8", 4)[at]
-            d = self.pair_discounts
-            p[places] *= (d[1] * sums[:, 1] + d[2] * sums[:, 2] + d[3] * sums[:, 3]) / sums[:, 0]
-            pair = (at.astype(np.uint64) << _U(44)) | (token[places] >> _PART)
-            order = np.argsort(pair)
-            found, there = self._find(self.array(bucket, "pairs", "<u8"), pair[order])
-            hit = order[there]
-            c = self.array(bucket, "counts", "<u4")[found[there]].astype(np.int64)
-            p[places[hit]] += (c - d[np.minimum(c, 3)]) / sums[hit, 0]
+                p[places] += (occur[:, 1] - self.discounts[0][np.minimum(occur[:, 1], 3)]) / m.pair_types
+        word = token >> _PART
+        hot, number = layout.of_hot(contexts[0])
+        runs = self._runs(layout.bucket(contexts[0], word))
+        # A hot word's contexts are in several buckets, each with a part of the sums.
+        spread = []
+        for i in np.unique(number[hot]).tolist():
+            _, first, parts = layout.hot[i]
+            own = np.flatnonzero(hot & (number == i))
+            spread += [(b, own) for b in range(first, first + parts)]
+        for k in range(2, m.order + 1):
+            context, d = contexts[k - 2], self.discounts[k - 1]
+            sums = np.zeros((len(token), 4), np.int64)
+            for b, own in [*(r for r in runs if r[0] < layout.buckets), *spread]:
+                self._sums(k, b, context, own, sums)
+            known = sums[:, 0] > 0
+            s = sums[known]
+            p[known] *= (d[1] * s[:, 1] + d[2] * s[:, 2] + d[3] * s[:, 3]) / s[:, 0]
+            key = gram(context, word)
+            for b, own in runs:
+                grams = self.array(f"{b}.{k}.grams")
+                at, there = self._find(grams, key[own])
+                if there.any():
+                    places = own[there]
+                    c = self.array(f"{b}.{k}.counts", len(grams))[at[there]].astype(np.int64)
+                    p[places] += (c - d[np.minimum(c, 3)]) / sums[places, 0]
         return count, p
 
 
@@ -368,33 +502,35 @@ def reader(model: Model) -> Reader:
 
 
 def scores(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
-    """The columns *keep* with ``n_tokens, n_known, train_tokens, base_score, score`` of each text, in log10.
+    """The columns *keep* with ``n_tokens, n_known, train_tokens, base_score, score, perplexity`` of each text.
 
-    Perplexity is 10 ** (-score / n_tokens).
+    Scores are in log10; the perplexity is 10 ** (-score / n_tokens), and texts have one token, their end, at least.
     """
     out = T.StructType([docs.schema[c] for c in keep])
-    for name, kind in (("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType())):
+    for name, kind in (("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType()), ("perplexity", T.DoubleType())):
         out = out.add(name, kind, False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = reader(model)
         for batch in batches:
             offsets, data = textnp.utf8(batch.column(len(keep)))
-            for a, b in textnp.slices(offsets, 6 << 20, 1 << 16):
-                context, token, firsts = tokens(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]])
-                count, p = own.look_up(context, token)
+            for a, b in textnp.slices(offsets, SCORE_BYTES, 1 << 16):
+                contexts, token, firsts = tokens(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]], model.order)
+                count, p = own.look_up(contexts, token)
                 base = np.log10((count + 1) / (model.train_tokens + model.vocabulary + 1))
                 n = b - a
                 columns = [batch.column(i).slice(a, n) for i in range(len(keep))]
                 at = firsts[:-1]
+                score, size = np.add.reduceat(np.log10(p), at), np.diff(firsts)
                 yield pa.RecordBatch.from_arrays(
                     [
                         *columns,
-                        pa.array(np.diff(firsts), pa.int64()),
+                        pa.array(size, pa.int64()),
                         pa.array(np.add.reduceat((count > 0).astype(np.int64), at), pa.int64()),
                         pa.array(np.full(n, model.train_tokens), pa.int64()),
                         pa.array(np.add.reduceat(base, at), pa.float64()),
-                        pa.array(np.add.reduceat(np.log10(p), at), pa.float64()),
+                        pa.array(score, pa.float64()),
+                        pa.array(10 ** (-score / size), pa.float64()),
                     ],
                     names=out.names,
                 )

@@ -1,6 +1,6 @@
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -31,15 +31,79 @@ def test_base_scores(request, which):
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
-def test_probabilities_are_proper(spark):
-    texts = ["a b a c", "a b", "b c a", "c", "a b c d"]
+class Plain:
+    """The model over dictionaries, by its formulas."""
+
+    def __init__(self, texts, order):
+        self.order = order
+        self.levels = [Counter() for _ in range(order)]  # by length less one: n-gram -> count
+        for text in texts:
+            own = ["<s>"] * (order - 1) + _tokens(text)
+            self.levels[-1].update(tuple(own[i : i + order]) for i in range(len(own) - order + 1))
+        for k in range(order - 1, 0, -1):
+            self.levels[k - 1].update(g[1:] for g in self.levels[k])
+        self.words = Counter(t for x in texts for t in _tokens(x))
+        self.discounts = [self._discounts(Counter(c.values())) for c in self.levels]
+        self.after = [defaultdict(dict) for _ in range(order)]
+        for k, level in enumerate(self.levels):
+            for g, c in level.items():
+                self.after[k][g[:-1]][g[-1]] = c
+
+    @staticmethod
+    def _discounts(n):
+        if not (n[1] and n[2] and n[3]):
+            return (0, 0.5, 0.5, 0.5)
+        y = n[1] / (n[1] + 2 * n[2])
+        return (0, *(min(max(d, 0), k) for k, d in ((1, 1 - 2 * y * n[2] / n[1]), (2, 2 - 3 * y * n[3] / n[2]), (3, 3 - 4 * y * n[4] / n[3]))))
+
+    def p(self, word, history):
+        out = 1 / (len(self.words) + 1)
+        for k in range(self.order):
+            seen, d = self.after[k].get(tuple(history[len(history) - k :]), {}), self.discounts[k]
+            total = sum(seen.values())
+            if total:
+                out = (max(seen.get(word, 0) - d[min(seen.get(word, 0), 3)], 0) + sum(d[min(c, 3)] for c in seen.values()) * out) / total
+        return out
+
+    def score(self, text):
+        own = ["<s>"] * (self.order - 1) + _tokens(text)
+        return sum(math.log10(self.p(own[i], own[i - self.order + 1 : i])) for i in range(self.order - 1, len(own)))
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_scores_equal_the_formulas(small, order):
+    chosen = crc_mod("doc_id", 7) != 2
+    plain = Plain([r.text for r in small.where(chosen).collect()], order)
+    rows = ngram_lm.scores(small, ngram_lm.train(small, chosen, order), "doc_id", "text").collect()
+    for r in rows[::5]:
+        assert r.score == pytest.approx(plain.score(r.text), abs=1e-6)
+        assert r.perplexity == pytest.approx(10 ** (-plain.score(r.text) / len(_tokens(r.text))))
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_words_before_very_many_others_have_buckets_of_their_own(small, monkeypatch, order):
+    monkeypatch.setattr(ngram_lm, "BUCKET_CHARS", 5_000)
+    monkeypatch.setattr(ngram_lm, "SAMPLE", 2)
+    every = crc_mod("doc_id", 7) >= 0
+    model = ngram_lm.train(small, every, order)
+    assert len(model.layout.hot) > 3
+    plain = Plain([r.text for r in small.collect()], order)
+    for r in ngram_lm.scores(small, model, "doc_id", "text").collect()[::9]:
+        assert r.score == pytest.approx(plain.score(r.text), abs=1e-6)
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_probabilities_sum_to_one(spark, order):
+    texts = ["a b a c", "a b", "b c a", "c", "a b c d", "d d d a b", "b a c a a"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    model = ngram_lm.train(docs, docs.doc_id >= 0)
-    ask = spark.createDataFrame([(f"a {w}",) for w in ("a", "b", "c", "d", "unseen")] + [("a",)], "text string")
-    p = [10**r.score for r in ngram_lm.scores(ask, model, "text").collect()]
-    ends = {r.text: r.score for r in ngram_lm.scores(spark.createDataFrame([(w,) for w in "abcd"] + [("unseen",)], "text string"), model, "text").collect()}
-    starts = {r.text: r.score for r in ngram_lm.scores(spark.createDataFrame([("",)], "text string"), model, "text").collect()}
-    assert all(0 < x < 1 for x in p) and len(ends) == 5 and starts[""] < 0
+    model = ngram_lm.train(docs, docs.doc_id >= 0, order)
+    # P(history word end) / P(end after history word), over all words, an unknown one and the end itself.
+    plain = Plain(texts, order)
+    for history in (["<s>", "a"], ["a", "b"], ["d", "d"], ["x", "y"], ["x", "a"]):
+        assert sum(plain.p(w, history) for w in [*plain.words, "unseen"]) == pytest.approx(1)
+    ask = spark.createDataFrame([(t,) for t in (*texts, "", "unseen", "a unseen b", "d c b a")], "text string")
+    for r in ngram_lm.scores(ask, model, "text").collect():
+        assert r.score == pytest.approx(plain.score(r.text))
 
 
 def test_model_of_nothing(odd, none):
@@ -51,7 +115,7 @@ def test_model_of_nothing(odd, none):
 def test_a_chunk_of_over_a_million_contexts():
     n = (1 << 20) + 1000
     context, token = np.arange(n, dtype=np.uint64) << np.uint64(40), np.full(n, 7 << 20, np.uint64)
-    packed = ngram_lm._packed(context, token, 1).to_pylist()
+    packed = ngram_lm._packed([context], token, ngram_lm.Layout(1)).to_pylist()
     assert len(packed) == 1
     assert (np.frombuffer(packed[0]["sizes"], "<u4") == 1).all() and len(packed[0]["contexts"]) == 8 * n
     assert len(packed[0]["counts"]) == 4 * n and (np.frombuffer(packed[0]["counts"], "<u4") == 1).all()
