@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import written
+from tessera.llm.common import dropped, parts_of, written
 
 FANOUT, FILE_RECORDS = 16, 512
 
@@ -70,28 +70,30 @@ def leaves(records: DataFrame, places: int) -> DataFrame:
     )
 
 
-def tree(records: DataFrame, places: int, levels: int) -> DataFrame:
-    """All nodes of a replica's tree, *levels* above the leaves."""
-    level = written(leaves(records, places), "merkle-level")
-    nodes = level
+#: Rows of a part of an inner level.
+LEVEL_ROWS = 200_000
+
+
+def tree(records: DataFrame, places: int, levels: int) -> list[DataFrame]:
+    """The levels of a replica's tree, leaves first, *levels* above them; each is a table."""
+    level = written(leaves(records, places), "merkle-level", parts_of(records))
+    out, rows = [level], level.count()
     for k in range(1, levels + 1):
         level = level.groupBy(F.expr(f"node div {FANOUT}").alias("up")).agg(
             F.sort_array(F.collect_list(F.struct("node", "hash"))).alias("below"),
             F.min("from_offset").alias("from_offset"),
             F.max("to_offset").alias("to_offset"),
         )
+        told = F.array_join(F.transform("below", lambda x: F.concat_ws("=", x["node"] % FANOUT, x["hash"])), ":")
         level = written(
             level.select(
-                F.lit(k).alias("level"),
-                F.col("up").alias("node"),
-                F.sha2(F.concat(F.lit("node:"), F.array_join(F.transform("below", lambda x: F.concat_ws("=", x["node"] % FANOUT, x["hash"])), ":")), 256).alias("hash"),
-                "from_offset",
-                "to_offset",
+                F.lit(k).alias("level"), F.col("up").alias("node"), F.sha2(F.concat(F.lit("node:"), told), 256).alias("hash"), "from_offset", "to_offset"
             ),
             "merkle-level",
+            rows // (FANOUT**k * LEVEL_ROWS) + 1,
         )
-        nodes = nodes.unionByName(level)
-    return nodes
+        out.append(level)
+    return out
 
 
 def shape(*replicas: DataFrame) -> tuple[int, int]:
@@ -107,20 +109,27 @@ def shape(*replicas: DataFrame) -> tuple[int, int]:
     return places, levels
 
 
-def differing(one: DataFrame, other: DataFrame, levels: int) -> DataFrame:
-    """``node, kind`` of leaves that differ: ``changed``, ``missing`` (in *other*) or ``added``."""
-    def at(nodes: DataFrame, k: int, name: str) -> DataFrame:
-        return nodes.where(F.col("level") == k).select("node", F.col("hash").alias(name))
+def differing(one: list[DataFrame], other: list[DataFrame]) -> DataFrame:
+    """``node, kind`` of leaves that differ: ``changed``, ``missing`` (in *other*) or ``added``.
+
+    Each level reads the children of the differing nodes above alone; where none differ, as between equal roots,
+    the descent ends.
+    """
 
     def unequal(a: DataFrame, b: DataFrame) -> DataFrame:
-        return a.join(b, "node", "full_outer").where(~F.col("ha").eqNullSafe(F.col("hb")))
+        hashes = lambda nodes, name: nodes.select("node", F.col("hash").alias(name))
+        return hashes(a, "ha").join(hashes(b, "hb"), "node", "full_outer").where(~F.col("ha").eqNullSafe(F.col("hb")))
 
-    # Each level's few differing nodes are written: the next level refers to them twice.
-    found = written(unequal(at(one, levels, "ha"), at(other, levels, "hb")), "merkle-differing")
-    for k in range(levels - 1, -1, -1):
+    found = written(unequal(one[-1], other[-1]), "merkle-differing", 1)
+    for a, b in zip(one[-2::-1], other[-2::-1], strict=True):
+        if found.isEmpty():
+            break
         above = found.select(F.col("node").alias("up"))
-        down = lambda nodes, name: at(nodes, k, name).join(above, F.expr(f"node div {FANOUT}") == F.col("up"), "left_semi")  # noqa: B023, E731
-        found = written(unequal(down(one, "ha"), down(other, "hb")), "merkle-differing")
+        down = lambda nodes: nodes.join(above, F.expr(f"node div {FANOUT}") == F.col("up"), "left_semi")  # noqa: B023, E731
+        # A level's few differing nodes are written: the next level refers to them twice.
+        below = written(unequal(down(a), down(b)), "merkle-differing")
+        dropped(found)
+        found = below
     kind = F.when(F.col("hb").isNull(), "missing").when(F.col("ha").isNull(), "added").otherwise("changed")
     return found.select("node", kind.alias("kind"))
 
@@ -128,7 +137,9 @@ def differing(one: DataFrame, other: DataFrame, levels: int) -> DataFrame:
 def audit(records: DataFrame, replica: DataFrame) -> DataFrame:
     """``page_id, file, seq, start_offset, length, record_sha256, status`` of every record of the first replica, and of those only the other holds (``added``)."""
     places, levels = shape(records, replica)
-    bad = differing(tree(records, places, levels), tree(replica, places, levels), levels)
+    one, other = tree(records, places, levels), tree(replica, places, levels)
+    bad = differing(one, other)
+    dropped(*one, *other)
     told = ["page_id", "file", "seq", "start_offset", "length", "record_sha256"]
 
     def every(held: DataFrame) -> DataFrame:

@@ -79,7 +79,7 @@ def test_audit_finds_each_kind_of_damage(spark):
     assert found == {17: "missing", 900: "missing", 30: "changed"}
     places, levels = merkle.shape(records, replica)
     trees = [merkle.tree(x, places, levels) for x in (replica, records)]
-    assert sorted(r.kind for r in merkle.differing(*trees, levels).collect()) == ["added", "added", "changed"]
+    assert sorted(r.kind for r in merkle.differing(*trees).collect()) == ["added", "added", "changed"]
 
 
 def test_audit_of_empty_replicas(spark):
