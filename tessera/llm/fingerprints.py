@@ -33,10 +33,11 @@ _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 def _probes(attempts: int) -> np.ndarray:
     """``[attempt, bin]``: the bin that an empty bin looks at."""
     key = np.arange(1, attempts * BINS + 1, dtype=np.uint64).reshape(attempts, BINS)
-    return (textnp.mix(key * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(40)).astype(np.int64) % BINS
+    return ((textnp.mix(key * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(40)) % np.uint64(BINS)).astype(np.int16)
 
 
-_PROBES = _probes(64)
+#: So many that an empty bin of a text with two filled ones misses them all with a chance of one in ten million.
+_PROBES = _probes(2048)
 
 
 def sketch(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -1,9 +1,10 @@
 """Quality classifier: supervised subword embeddings.
 
-A document's features are its hashed words and its hashed runs of ``GRAMS`` bytes (white space of any kind counting
-as one space).  Each feature owns a learned vector; the vectors of each kind are averaged over the document, the
-averages added, and a softmax layer tells the classes apart.  Vectors and layer are trained by numpy stochastic
-gradient descent (step sizes by AdaGrad) on the driver, over at most ``max_rows`` labelled documents, those with the
+A document's features are its hashed words and their hashed runs of ``GRAMS`` characters.  A run may begin or end with
+the space beside a word (white space of any kind counting as a space) but does not go on beyond it.  Each feature owns
+a learned vector; the vectors of each kind are averaged over the document, the averages added, and a softmax layer
+tells the classes apart.  Vectors and layer are trained by numpy stochastic gradient descent (step sizes by AdaGrad)
+on the driver, over at most ``max_rows`` labelled documents, those with the
 smallest hashed ids.  That bound is a parameter of the fit alone; every document is scored, and whole.
 
 Only texts are inputs of a score.  A text without words or bytes (null, empty) is scored by the layer's bias alone.
@@ -26,7 +27,7 @@ from tessera.llm import textnp
 from tessera.llm.common import crc_mod
 
 BUCKET_BITS = 16
-GRAMS = (2, 4)
+GRAMS = (2, 3)
 BUCKETS = (1 + len(GRAMS)) << BUCKET_BITS
 
 
@@ -41,29 +42,37 @@ class Fit:
     seed: int = 5
 
 
-_SPACED = np.arange(256, dtype=np.uint64)
-_SPACED[[9, 10, 11, 12, 13]] = 32
+#: Bytes of text looked at together.
+SLICE_BYTES = 1 << 20
+_PRIME = np.uint64(0x100000001B3)
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def features(offsets: np.ndarray, data: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """``(feature, row)`` for every word and byte run, by kind; rows in order."""
+    """``(feature, row)`` for every word and character run, by kind; rows in order."""
     n = len(offsets) - 1
     mask = np.uint64((1 << BUCKET_BITS) - 1)
     words, firsts = textnp.hash_words(offsets, data)
-    found = [((words & mask).astype(np.int64), np.repeat(np.arange(n), np.diff(firsts)))]
-    sizes = np.diff(offsets)
-    byte = _SPACED[data]
-    row = np.repeat(np.arange(n), sizes)
+    found = [((words & mask).astype(np.int32), np.repeat(np.arange(n, dtype=np.int32), np.diff(firsts)))]
+    char = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), "<u4")
+    before = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    row = np.repeat(np.arange(n, dtype=np.int32), np.diff(before[offsets]))
+    space = (char == 32) | ((char >= 9) & (char <= 13))
+    char = np.where(space, np.uint32(32), char)
     for kind, k in enumerate(GRAMS, 1):
-        if len(byte) < k:
-            found.append((np.zeros(0, np.int64), np.zeros(0, np.int64)))
+        m = len(char) - k + 1
+        if m <= 0:
+            found.append((np.zeros(0, np.int32), np.zeros(0, np.int32)))
             continue
-        code = byte[: len(byte) - k + 1].copy()
+        whole = row[:m] == row[k - 1 :]
+        for j in range(1, k - 1):
+            whole &= ~space[j : m + j]
+        at = np.flatnonzero(whole)
+        code = char[at].astype(np.uint64)
         for j in range(1, k):
-            code = (code << np.uint64(8)) | byte[j : len(byte) - k + 1 + j]
-        whole = row[: len(code)] == row[k - 1 :]
-        code = (code[whole] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKET_BITS)
-        found.append((code.astype(np.int64) + (kind << BUCKET_BITS), row[: len(whole)][whole]))
+            code = code * _PRIME + char[at + j]
+        code = (code * _SPREAD) >> np.uint64(64 - BUCKET_BITS)
+        found.append((code.astype(np.int32) + np.int32(kind << BUCKET_BITS), row[at]))
     return found
 
 
@@ -166,7 +175,7 @@ def scores(
         weights, bias = sent.value
         for batch in batches:
             offsets, data = textnp.utf8(batch.column(at))
-            for a, b in textnp.slices(offsets):
+            for a, b in textnp.slices(offsets, SLICE_BYTES):
                 n = b - a
                 logit = np.full(n, bias)
                 for feature, row in features(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]]):

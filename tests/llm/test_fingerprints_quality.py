@@ -1,12 +1,14 @@
 import hashlib
+import re
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from tessera.llm import fingerprints, quality, textnp
+from tessera.llm import fingerprints, quality, registry, textnp
 from tessera.llm.common import crc_mod
 
 SF = "/root/testdata/sf0.01"
@@ -36,29 +38,66 @@ def test_likeness_estimates_jaccard():
     assert np.abs(errors).max() < 0.15 and abs(np.mean(errors)) < 0.02
 
 
+_M = (1 << 64) - 1
+
+
+def _mix(x):
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 & _M
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB & _M
+    return x ^ (x >> 31)
+
+
+def _plain_print(text: str) -> str:
+    """A fingerprint by plain integers: hash shingles, bin them, fill empty bins from others, store four bits of each."""
+    byte, shingle = [int(x) for x in textnp._BYTE], [int(x) for x in textnp._SHINGLE]
+    words = []
+    for w in re.findall(rb"[^\x20\x09-\x0D]+", text.encode()):
+        words.append(_mix(sum(byte[c] * pow(int(textnp._BASE), i, 1 << 64) for i, c in enumerate(w)) & _M))
+    n = min(5, len(words))
+    if not n:
+        return "0" * 256
+    bins = {}
+    for i in range(len(words) - n + 1):
+        h = _mix((sum(words[i + j] * shingle[j] for j in range(n)) + n) & _M)
+        bins[h % 256] = min(bins.get(h % 256, _M), h >> 8)
+    out = ""
+    for b in range(256):
+        at, attempt = b, 0
+        while at not in bins:
+            key = (attempt * 256 + b + 1) * 0xD6E8FEB86659FD93 & _M
+            at, attempt = ((_mix(key) >> 40) if attempt < 2048 else b + attempt) % 256, attempt + 1
+        out += f"{_mix(bins[at]) & 15:x}"
+    return out
+
+
+def _likeness(one: str, other: str, told) -> float:
+    blank = [not x.strip(" \t\n\r\x0b\x0c") for x in (one, other)]
+    if any(blank):
+        return float(all(blank))
+    same = sum(x == y for x, y in zip(told(one), told(other), strict=True)) / 256
+    return min(max((same - 1 / 16) / (15 / 16), 0.0), 1.0)
+
+
 @pytest.mark.parametrize("which", ["odd", "small"])
 def test_edited_texts(request, which):
     docs = request.getfixturevalue(which)
     rows = fingerprints.against_edited(docs).collect()
-    key = lambda r: (r.doc_id is not None, r.doc_id or 0)
-    given = sorted(docs.select("doc_id", "text").collect(), key=key)
-    assert Counter(r.doc_id for r in rows) == Counter(r.doc_id for r in given)
-    once = {i for i, n in Counter(r.doc_id for r in given).items() if n == 1}
+    # Rows with equal ids stand in order of their text's hash; null ids come first.
+    given = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text")).collect()
+    given.sort(key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.tie))
     prints = {}
+    told = lambda t: prints.setdefault(t, _plain_print(t))
+    want = Counter()
     for i, r in enumerate(given):
-        follower = given[(i + 1) % len(given)]
-        if r.doc_id not in once or follower.doc_id not in once:
-            continue
-        text, after = r.text or "", follower.text or ""
-        n = len(text) // 4
-        edited = text[: len(text) - n] + after[:n]
-        (got,) = [x for x in rows if x.doc_id == r.doc_id]
-        assert got.n_chars == len(text) and got.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        bits, blank = fingerprints.sketch(*textnp.utf8(pa.array([text, edited, after])))
-        assert [got.fingerprint, got.edited_fingerprint] == fingerprints.pack(bits[:2])
-        want = [fingerprints.likeness(bits[:1], bits[j : j + 1], blank[:1], blank[j : j + 1])[0] for j in (1, 2)]
-        assert [got.near_edited, got.near_next] == pytest.approx(want)
-        assert prints.setdefault(text, got.fingerprint) == got.fingerprint
+        after = given[(i + 1) % len(given)].text
+        n = len(r.text) // 4
+        edited = r.text[: len(r.text) - n] + after[:n]
+        near = [round(_likeness(r.text, t, told), 9) for t in (edited, after)]
+        want[(r.doc_id, len(r.text), hashlib.sha256(edited.encode()).hexdigest(), told(r.text), told(edited), *near)] += 1
+    got = Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in rows)
+    assert got == want
 
 
 def test_fingerprints_keep_columns(odd, none):
@@ -87,6 +126,26 @@ def test_quality_on_held_out_rows(spark):
     assert len(pairs) > 50 and hits / len(pairs) > 0.85
 
 
+def test_quality_query(spark):
+    rows = {r.doc_id: r for r in registry.QUERIES["op6_quality"](spark, SF).collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if r.quality is not None}
+    assert len(rows) == spark.read.parquet(f"{SF}/documents.parquet").count()
+    for i, r in rows.items():
+        assert r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) and r.predicted == int(r.score >= 0.7) and 0 <= r.score <= 1
+    held = [(rows[i].predicted, y) for i, y in labels.items() if i in rows and rows[i].held_out]
+    assert len(held) > 50 and sum(p == y for p, y in held) / len(held) > 0.9
+
+
+def test_character_runs_do_not_cross_words():
+    text = "ab \u00e9\U0001f600\tc"
+    data = np.frombuffer(text.encode(), np.uint8)
+    words, two, three = (len(f) for f, _ in quality.features(np.array([0, len(data)]), data))
+    # "ab", "b ", " é", "é😀", "😀 ", " c"; "ab ", " é😀", "é😀 ".
+    assert (words, two, three) == (3, 6, 3)
+    one, _ = quality.features(np.array([0, 3, 6]), np.frombuffer(b"abcabc", np.uint8))[1]
+    assert one.tolist() == [*one[:2], *one[:2]]
+
+
 def test_quality_of_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(1, 1, 0), (4, 1, 0), (7, 0, 0), (10, 1, 0), (10, 0, 0), (13, None, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
     model = quality.fitted(odd, labels)
