@@ -145,6 +145,19 @@ def basket_size_filter(spark, sf_dir):
     return _shown(itemsets.baskets(tables.line_baskets(spark, sf_dir), BASKET_OVER))
 
 
+@query("""SELECT l_orderkey AS basket, string_agg(CAST(l_suppkey AS VARCHAR), ',' ORDER BY CAST(l_suppkey AS VARCHAR)) AS all_items
+    FROM lineitem GROUP BY 1""")
+def basket_multiset(spark, sf_dir):
+    held = itemsets.baskets(tables.line_baskets(spark, sf_dir), repeats=True)
+    return held.select("basket", F.array_join("all_items", ",").alias("all_items"))
+
+
+@query(f"""SELECT CAST(l_suppkey AS VARCHAR) AS item, count(*) AS n, count(DISTINCT l_orderkey) AS support FROM lineitem
+    GROUP BY 1 HAVING count(*) >= {LINES_OVER}""")
+def singleton_rows(spark, sf_dir):
+    return itemsets.singletons(tables.line_baskets(spark, sf_dir), LINES_OVER)
+
+
 def _support(rows: DataFrame, share: float) -> int:
     return math.ceil(share * rows.select("basket").distinct().count())
 
@@ -315,6 +328,14 @@ def user_profile(spark, sf_dir):
     return users.select("lang", F.array_join("words", " ").alias("words"), F.size("words").cast("long").alias("n"))
 
 
+@query(f"""{_USERS} SELECT 'business_profile' AS type, source AS profile_id, string_agg(word, ' ' ORDER BY rank) AS words FROM top GROUP BY 2
+    UNION ALL SELECT 'user_profile', lang, string_agg(word, ' ' ORDER BY word) FROM u GROUP BY 2""")
+def profile_model(spark, sf_dir):
+    _, items, users = _users(spark, sf_dir)
+    rows = content.model_rows(items, users, "source", "lang")
+    return rows.select("type", "profile_id", F.array_join("profile_vector", " ").alias("words"))
+
+
 @query(f"""{_USERS}, nu AS (SELECT lang, count(*) AS n FROM u GROUP BY 1), ni AS (SELECT source, count(*) AS n FROM top GROUP BY 1),
     common AS (SELECT lang, source, count(*) AS n FROM u JOIN top USING (word) GROUP BY ALL)
     SELECT lang, source, round(common.n / (sqrt(nu.n) * sqrt(ni.n)), 6) AS sim
@@ -347,6 +368,15 @@ def pearson_items(spark, sf_dir):
     return cf.item_model(tables.order_ratings(spark, sf_dir)).withColumn("sim", F.round("sim", 6))
 
 
+@query(f"""WITH {_RATINGS}, m AS (SELECT item, avg(stars) AS mean FROM ratings GROUP BY 1 HAVING count(*) >= 3),
+    d AS (SELECT "user", item, stars - mean AS d FROM ratings JOIN m USING (item)),
+    s AS (SELECT u.item AS a, v.item AS b, sum(u.d * v.d) AS xy, sum(u.d * u.d) AS xx, sum(v.d * v.d) AS yy
+        FROM d u JOIN d v ON u."user" = v."user" AND u.item < v.item GROUP BY ALL HAVING count(*) >= 3)
+    SELECT a, b, round(CASE WHEN xx > 0 AND yy > 0 THEN xy / sqrt(xx * yy) ELSE 0 END, 6) AS sim FROM s""")
+def pearson_items_all_means(spark, sf_dir):
+    return cf.item_model_all_means(tables.order_ratings(spark, sf_dir)).withColumn("sim", F.round("sim", 6))
+
+
 def _user_model(spark, sf_dir, ratings: DataFrame) -> DataFrame:
     index = encode.dense_index(ratings, "item")
     return cf.user_model(ratings, index, USER_PARAMS, index.count(), USER_BANDS)

@@ -144,6 +144,13 @@ def test_averages_round_half_up_at_one_digit(spark):
     assert got == {"a": 2.3, "b": 0.4, "c": 4.1, "d": 3.7}
 
 
+def test_repeats_in_baskets(spark):
+    rows = spark.createDataFrame([(1, "b"), (1, "a"), (1, "b"), (2, "b"), (3, None)], "basket int, item string")
+    got = {r.basket: (r.n_rows, r["items"], r.all_items) for r in itemsets.baskets(rows, repeats=True).collect()}
+    assert got == {1: (3, ["a", "b"], ["a", "b", "b"]), 2: (1, ["b"], ["b"]), 3: (1, [], [])}
+    assert {tuple(r) for r in itemsets.singletons(rows, 3).collect()} == {("b", 3, 2)}
+
+
 def test_pearson_guards(spark):
     ratings = [(u, "a", float(s)) for u, s in enumerate((1, 2, 3, 5))] + [(u, "b", float(s)) for u, s in enumerate((2, 4, 6, 10))]
     ratings += [(u, "flat", 3.0) for u in range(4)] + [(u, "two", float(u)) for u in range(2)]
