@@ -10,10 +10,20 @@ PUNCTUATION = "([,.!?:;])"
 PUNCTUATION_MORE = PUNCTUATION + "=&"
 
 
+#: Unicode white space, with the four separators U+001C to U+001F.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def pieces(text: Column | str, punctuation: str = PUNCTUATION) -> Column:
+    """Lower-case words and empty pieces between them: white space and punctuation part words.  Null text has no word."""
+    parting = punctuation + SPACES
+    low = F.translate(F.lower(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))), parting, " " * len(parting))
+    return F.split(low, " ")
+
+
 def words(text: Column | str, punctuation: str = PUNCTUATION) -> Column:
-    """Lower-case words: punctuation counts as space, and Unicode white space parts words.  Null text has none."""
-    low = F.translate(F.lower(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))), punctuation, " " * len(punctuation))
-    return F.filter(F.split(low, r"(?U)\s+"), lambda w: w != "")
+    """The words of :func:`pieces` alone."""
+    return F.array_remove(pieces(text, punctuation), "")
 
 
 def comma_list(text: Column | str) -> Column:

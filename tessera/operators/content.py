@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import PUNCTUATION_MORE
 from tessera.operators.stats import top_per_group, word_counts
+from tessera.storage import written
 
 
 def tf_idf(docs: DataFrame, item: str, text: str, stop: DataFrame | None = None, rare: float = 1e-4) -> DataFrame:
@@ -15,7 +16,8 @@ def tf_idf(docs: DataFrame, item: str, text: str, stop: DataFrame | None = None,
     tf is a word's count over the item's largest count (rare words included); idf is log2(items / items with the
     word); an item is any value of *item*, with or without words.
     """
-    counted = word_counts(docs, text, stop, PUNCTUATION_MORE, item)
+    # Three aggregates read it: the texts are cut once.
+    counted = written(word_counts(docs, text, stop, PUNCTUATION_MORE, item), "word-counts")
     by_word = counted.groupBy("word").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("total"))
     # One-row frames: the number of items, and of words.
     items = docs.agg(F.count_distinct(item).alias("n_items"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import PUNCTUATION, comma_list, words
+from tessera.functions.text import PUNCTUATION, comma_list, pieces
+from tessera.session import spread
 
 
 def review_counts(reviews: DataFrame, user: str, in_year: Column) -> DataFrame:
@@ -24,7 +25,7 @@ def top_counts(df: DataFrame, key: str, k: int) -> DataFrame:
 
 def word_counts(docs: DataFrame, text: str = "text", stop: DataFrame | None = None, punctuation: str = PUNCTUATION, *keys: str) -> DataFrame:
     """``[keys,] word, n`` without stop words.  Words are counted before the anti-join, which then sees few rows."""
-    each = docs.select(*keys, F.explode(words(text, punctuation)).alias("word"))
+    each = spread(docs).select(*keys, F.explode(pieces(text, punctuation)).alias("word")).where("word <> ''")
     counted = each.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("n"))
     return counted.join(stop, "word", "left_anti") if stop is not None else counted
 

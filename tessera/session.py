@@ -15,6 +15,20 @@ SETTINGS = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "
 #: Texts go to Python workers in batches of so many bytes, however long they are; a session's own setting stays.
 BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
+#: Bytes of inputs that a few tasks may get for themselves.
+SMALL = 16 << 20
+
+
+def size_of(df: DataFrame) -> int:
+    """The optimizer's estimate of a frame's bytes; it decides layouts only."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """*df* dealt to all cores if it is small, as one file is that only one task would read; others stay as they are."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size_of(df) < SMALL else df
+
+
 _shipped: set[str] = set()
 
 

@@ -1,5 +1,6 @@
 """Small fixtures for the quirks of the operators."""
 
+import os
 import random
 from itertools import combinations
 
@@ -7,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera import session, storage
 from tessera.functions.text import words, year_of
 from tessera.operators import cf, encode, itemsets, lsh, metrics, stats
 from tessera.plans import registry
@@ -144,6 +146,23 @@ def test_averages_round_half_up_at_one_digit(spark):
     assert got == {"a": 2.3, "b": 0.4, "c": 4.1, "d": 3.7}
 
 
+def test_session_settings_and_small_inputs(spark):
+    session.configure(spark)
+    assert {k: spark.conf.get(k) for k in session.SETTINGS} == session.SETTINGS
+    small = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert session.spread(small).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    large = spark.range(10**8)
+    assert session.spread(large) is large
+
+
+def test_tables_are_dropped(spark):
+    table = storage.written(spark.range(9), "test", files=2)
+    assert table.count() == 9 and len(table.inputFiles()) <= 2
+    folder = table._tessera_path.removeprefix("file://")
+    storage.dropped(table)
+    assert not os.path.exists(folder)
+
+
 def test_repeats_in_baskets(spark):
     rows = spark.createDataFrame([(1, "b"), (1, "a"), (1, "b"), (2, "b"), (3, None)], "basket int, item string")
     got = {r.basket: (r.n_rows, r["items"], r.all_items) for r in itemsets.baskets(rows, repeats=True).collect()}
