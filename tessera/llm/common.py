@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import size_of, spread  # noqa: F401
 from tessera.storage import ROW_GROUP, dropped, new_path, shared_dir, written  # noqa: F401
 
 #: A word is a maximal run of characters other than space and U+0009..U+000D.
@@ -22,9 +23,8 @@ def parts_of(df: DataFrame) -> int:
     Sizes are the optimizer's estimates; they decide the layout of files only.
     """
     spark = df.sparkSession
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(2 * spark.sparkContext.defaultParallelism, min(math.ceil(size / PART_BYTES), shuffled))
+    return max(2 * spark.sparkContext.defaultParallelism, min(math.ceil(size_of(df) / PART_BYTES), shuffled))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

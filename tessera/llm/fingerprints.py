@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import textnp
-from tessera.llm.common import parts_of, written
+from tessera.llm.common import parts_of, spread, written
 
 BINS, BITS, WORDS = 256, 4, 5
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -95,7 +95,7 @@ def fingerprints(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
                 columns = [batch.column(i).slice(a, b - a) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(pack(bits), pa.string())], names=out.names)
 
-    return docs.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(run, out)
+    return spread(docs.select(*keep, F.col(text).cast("string").alias("__text"))).mapInArrow(run, out)
 
 
 _ROW = (

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textnp
-from tessera.llm.common import dropped, join_groups, join_held, parts_of, text_of, written
+from tessera.llm.common import dropped, join_groups, join_held, parts_of, spread, text_of, written
 from tessera.llm.components import components
 
 WORDS, SKETCHES, TAKE, SHORT_TAKE = 5, 32, 6, 2
@@ -186,7 +186,7 @@ def _keys(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([own.column(0).slice(a, b - a), lists, made], names=["node", "keys", "runs"])
 
     rows = docs.select(_node(docs).alias("node"), text_of(docs).alias("text"))
-    return rows.mapInArrow(run, "node binary, keys array<bigint>, runs binary")
+    return spread(rows).mapInArrow(run, "node binary, keys array<bigint>, runs binary")
 
 
 def _align(pairs: DataFrame, runs: DataFrame) -> DataFrame:

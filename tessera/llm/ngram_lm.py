@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import textnp
-from tessera.llm.common import dropped, new_path, text_of, written
+from tessera.llm.common import dropped, new_path, spread, text_of, written
 
 _U = np.uint64
 BEGIN, END = _U(0x0B5E5B1A6E0C4D21), _U(0xC3A5C85C97CB3127)
@@ -357,7 +357,7 @@ def train(docs: DataFrame, chosen: Column, order: int = 2) -> Model:
             )
 
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    packed = rows.mapInArrow(count, "bucket bigint, contexts binary, sizes binary, words binary, counts binary")
+    packed = spread(rows).mapInArrow(count, "bucket bigint, contexts binary, sizes binary, words binary, counts binary")
     merged = packed.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(
         merge, "bucket bigint, words binary, follows binary, names binary, totals binary, sizes array<bigint>"
     )
@@ -535,4 +535,4 @@ def scores(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
                     names=out.names,
                 )
 
-    return docs.select(*keep, text_of(docs).cast("string").alias("__text")).mapInArrow(run, out)
+    return spread(docs.select(*keep, text_of(docs).cast("string").alias("__text"))).mapInArrow(run, out)

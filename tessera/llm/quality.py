@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import textnp
-from tessera.llm.common import crc_mod
+from tessera.llm.common import crc_mod, spread
 
 BUCKET_BITS = 16
 GRAMS = (2, 3)
@@ -185,4 +185,4 @@ def scores(
                 columns = [batch.column(i).slice(a, n) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(p, pa.float64())], names=out.names)
 
-    return docs.select(*keep, *held).mapInArrow(run, out)
+    return spread(docs.select(*keep, *held)).mapInArrow(run, out)

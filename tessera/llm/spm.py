@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from tessera.llm import textnp
 from tessera.llm.chunks import ChunkTable
+from tessera.llm.common import spread
 
 MARK = "▁"
 _GENERAL = re.compile(f"{MARK}+[^{MARK}\n]*|\n[^{MARK}\n]*|[^{MARK}\n]+")
@@ -176,4 +177,4 @@ def encode(docs: DataFrame, model: str, *keep: str, text: str = "text", decode:
     from pyspark.sql import functions as F
 
     own = [F.col(c) for c in keep] + [F.col(text).cast("string").alias("__text")]
-    return docs.select(*own).mapInArrow(run, out)
+    return spread(docs.select(*own)).mapInArrow(run, out)
