@@ -14,7 +14,7 @@ and below 1e-4 otherwise.
 
 Verification.  Equal texts are one node.  In each bucket one member, the same in most of a group's buckets, is
 aligned with all others (a star), in all buckets at once; classes of the links found are formed, and further stars
-around other members join what still differs.  What remains are buckets of several classes.  All their members are
+around other members join what still differs, while many texts are left.  What remains are buckets of several classes.  All their members are
 taken together, whatever buckets they share, and no pair is left out but by proof: a link needs 4/5 of either text's
 runs in common, so texts with too few runs held by another class have none, and two texts without a common run among
 the rarest of these have none (families are the components of such runs).  In a family, dealt to pairs of blocks,
@@ -43,7 +43,8 @@ from tessera.llm.components import components
 
 WORDS, SKETCHES, TAKE, SHORT_TAKE = 5, 32, 6, 2
 LONG_FROM, SHORT_TO = 16, 24
-STARS = 5
+#: The last stage comes after so many rounds of stars, or as soon as so few texts are left for it.
+STARS, FEW = 5, 2000
 #: Tasks that the pairs of one leader are dealt to.
 SALTS = 64
 #: Members, and runs of all members, of the blocks a family is dealt to; runs compared at a time.
@@ -470,9 +471,11 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     for star in range(1, STARS + 1):
         open_ = active(labels)
-        if open_.isEmpty():
+        left = open_.select("node").distinct().count()
+        if not left:
             break
-        if star < STARS:
+        last = star == STARS or left <= FEW
+        if not last:
             heads = written(
                 open_.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(star)).alias("h"), "node", "label")).alias("t"), F.max("size").alias("k")),
                 "near-heads",
@@ -488,6 +491,8 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         tested = tested.unionByName(new)
         if not new.where("linked").isEmpty():
             labels = merged(labels, new)
+        if last:
+            break
     dropped(tops, members, runs)
     return tested, labels
 

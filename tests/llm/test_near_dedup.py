@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import near_dedup, textnp
@@ -121,7 +122,9 @@ def _clump(pairs):
     return rows
 
 
-def test_links_inside_a_large_clump_are_found(spark):
+@pytest.mark.parametrize("few", [0, 2000])
+def test_links_inside_a_large_clump_are_found(spark, monkeypatch, few):
+    monkeypatch.setattr(near_dedup, "FEW", few)
     found = _check(spark.createDataFrame(_clump(300), "doc_id long, text string"))
     assert {r.class_size for r in found} == {2} and sum(r.kept for r in found) == 300
 
