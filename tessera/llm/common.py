@@ -14,17 +14,19 @@ from tessera.storage import ROW_GROUP, dropped, new_path, shared_dir, written  #
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Bytes of a table's part, where the session's number of shuffle partitions would make smaller ones.
-PART_BYTES = 16 << 20
+PART_BYTES = 64 << 20
+#: The same of texts that a task sorts.
+SORTED_BYTES = 16 << 20
 
 
-def parts_of(df: DataFrame) -> int:
-    """Parts for tables about as large as *df*: of ``PART_BYTES``, but two a core, and no more than a shuffle makes.
+def parts_of(df: DataFrame, size: int = PART_BYTES) -> int:
+    """Parts for tables about as large as *df*: of *size* bytes, but two a core, and no more than a shuffle makes.
 
     Sizes are the optimizer's estimates; they decide the layout of files only.
     """
     spark = df.sparkSession
     shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(2 * spark.sparkContext.defaultParallelism, min(math.ceil(size_of(df) / PART_BYTES), shuffled))
+    return max(2 * spark.sparkContext.defaultParallelism, min(math.ceil(size_of(df) / size), shuffled))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import textnp
-from tessera.llm.common import parts_of, spread, written
+from tessera.llm.common import SORTED_BYTES, parts_of, spread, written
 
 BINS, BITS, WORDS = 256, 4, 5
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -143,7 +143,7 @@ def against_edited(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text"))
-    ordered = rows.repartitionByRange(parts_of(docs), "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
+    ordered = rows.repartitionByRange(parts_of(docs, SORTED_BYTES), "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     names = [x.split()[0] for x in (_ROW + _EDGE).split(", ")]
     schema = T._parse_datatype_string(_ROW + _EDGE)
 

@@ -280,7 +280,7 @@ def mixed_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
             out.append(F.length("__text").cast(docs.schema[c].dataType).alias(c))
         else:
             out.append(F.col(f"__c{i}").alias(c))
-    return _passages(docs, mix).select(*out)
+    return _passages(docs, mix).select(*out).coalesce(parts_of(docs))
 
 
 def mixed_blocks(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:

@@ -538,4 +538,4 @@ def survivors(docs: DataFrame) -> DataFrame:
     kept = _classes(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("node").alias("__kept")).distinct()
     keyed = docs.withColumn("__node", _node(docs))
     stays = keyed.join(kept, (F.col("__node") == F.col("__kept")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return stays.dropDuplicates(["__node", "doc_id"]).select(*names)
+    return stays.dropDuplicates(["__node", "doc_id"]).select(*names).coalesce(parts_of(docs))

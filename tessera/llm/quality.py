@@ -153,11 +153,13 @@ def fitted(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), label: str = "q
     made = picked.select("doc_id", "__y", F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     rows = made.mapInArrow(run, "id bigint, y int, ids binary, shares binary").toPandas()
     rows = rows.sort_values(["id", "ids"], kind="stable")
-    found = [
-        (np.frombuffer(i, np.int32).astype(np.int64), np.frombuffer(s, np.float32).astype(float), int(y))
-        for i, s, y in zip(rows.ids, rows.shares, rows.y, strict=True)
-    ]
-    return train(found, fit)
+    found = [(np.frombuffer(i, np.int32), np.frombuffer(s, np.float32), int(y)) for i, s, y in zip(rows.ids, rows.shares, rows.y, strict=True)]
+    del rows
+    model = train(found, fit)
+    # The driver goes on without the rows.
+    del found
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def scores(

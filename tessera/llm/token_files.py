@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import textnp
 from tessera.llm.chunks import ChunkTable
-from tessera.llm.common import ROW_GROUP, dropped, new_path, parts_of, written
+from tessera.llm.common import ROW_GROUP, SORTED_BYTES, dropped, new_path, parts_of, written
 
 SCALE_BITS, LANES, CHECKPOINT, BLOCK_TOKENS = 20, 1024, 64, 1 << 17
 #: Bytes of text cut at a time.
@@ -345,7 +345,7 @@ def tokenized(docs: DataFrame, path: str, end: int = 0, text: str = "text") -> D
     """Blocks of token ids in ascending order of document id, not yet coded."""
     rows = docs.select("doc_id", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text"))
-    ordered = rows.repartitionByRange(parts_of(docs), "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
+    ordered = rows.repartitionByRange(parts_of(docs, SORTED_BYTES), "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
