@@ -535,7 +535,11 @@ def classes(docs: DataFrame) -> DataFrame:
 def survivors(docs: DataFrame) -> DataFrame:
     """One row of each class, with all its columns; of copies of that row, any one."""
     names = docs.columns
-    kept = _classes(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("node").alias("__kept")).distinct()
-    keyed = docs.withColumn("__node", _node(docs))
-    stays = keyed.join(kept, (F.col("__node") == F.col("__kept")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return stays.dropDuplicates(["__node", "doc_id"]).select(*names).coalesce(parts_of(docs))
+
+    def key(node: Column) -> Column:
+        """One column for text and id: the join and the choice of a copy then share one shuffle of the texts."""
+        return F.concat(node, F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).cast("binary"))
+
+    kept = _classes(docs).where("kept").select(key(F.col("node")).alias("__kept"))
+    stays = docs.withColumn("__key", key(_node(docs))).join(kept, F.col("__key") == F.col("__kept"), "left_semi")
+    return stays.dropDuplicates(["__key"]).select(*names).coalesce(parts_of(docs))
