@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Settings the operators are written for; all can be changed at run time.
 SETTINGS = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true"}
-#: Texts go to Python workers in batches of so many bytes, however long they are; a session's own setting stays.
-BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+#: What bounds a task's memory where texts are long: bytes of a batch sent to Python, and of a row group held by a writer
+#: and read at a time.  A session's own settings stay.
+BOUNDS = {"spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20), "parquet.block.size": str(8 << 20)}
 
 #: Bytes of inputs that a few tasks may get for themselves.
 SMALL = 16 << 20
@@ -40,7 +41,7 @@ def configure(spark: SparkSession) -> SparkSession:
 
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in Python workers, once for each application."""
-    for key, value in BATCHES.items():
+    for key, value in BOUNDS.items():
         if spark.conf.get(key, None) is None:
             spark.conf.set(key, value)
     app = spark.sparkContext.applicationId
