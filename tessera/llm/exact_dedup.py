@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import join_groups, parts_of, text_of, written
+from tessera.llm.common import SORTED_BYTES, join_groups, parts_of, text_of, written
 
 SALTS = 32
 HOT = 1000
@@ -86,4 +86,4 @@ def survivors(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     best = [F.max_by("_row", "_id").alias("_row"), F.max("_id").alias("_id")]
     stays = rows.groupBy("_digest", "_salt", "_text").agg(*best).groupBy("_digest", "_text").agg(*best)
     back = [F.when(~F.col("_row.null_text"), F.col("_text")).alias(c) if c == "text" else F.col(f"_row.c{i}").alias(c) for i, c in enumerate(names)]
-    return stays.select(*back).coalesce(parts_of(docs))
+    return stays.select(*back).coalesce(parts_of(docs, SORTED_BYTES))

@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD, dropped, parts_of, text_of, written
+from tessera.llm.common import SORTED_BYTES, WORD, dropped, parts_of, text_of, written
 
 ROUNDS = 16
 _CHUNK, _RUN = 1 << 14, 1024
@@ -280,7 +280,7 @@ def mixed_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
             out.append(F.length("__text").cast(docs.schema[c].dataType).alias(c))
         else:
             out.append(F.col(f"__c{i}").alias(c))
-    return _passages(docs, mix).select(*out).coalesce(parts_of(docs))
+    return _passages(docs, mix).select(*out).coalesce(parts_of(docs, SORTED_BYTES))
 
 
 def mixed_blocks(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:

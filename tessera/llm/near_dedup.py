@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textnp
-from tessera.llm.common import dropped, join_groups, join_held, parts_of, spread, text_of, written
+from tessera.llm.common import SORTED_BYTES, dropped, join_groups, join_held, parts_of, spread, text_of, written
 from tessera.llm.components import components
 
 WORDS, SKETCHES, TAKE, SHORT_TAKE = 5, 32, 6, 2
@@ -542,4 +542,4 @@ def survivors(docs: DataFrame) -> DataFrame:
 
     kept = _classes(docs).where("kept").select(key(F.col("node")).alias("__kept"))
     stays = docs.withColumn("__key", key(_node(docs))).join(kept, F.col("__key") == F.col("__kept"), "left_semi")
-    return stays.dropDuplicates(["__key"]).select(*names).coalesce(parts_of(docs))
+    return stays.dropDuplicates(["__key"]).select(*names).coalesce(parts_of(docs, SORTED_BYTES))
