@@ -9,11 +9,13 @@ orders down to pairs come from the same bucket: their counts are those of differ
 buckets grows with the corpus.  A word that stands before more than a bucket's share of tokens, as a sample of the texts
 shows, has buckets of its own, over which its n-grams are dealt by the last word; that decides the layout only.
 
-Storage.  For each bucket and order there are flat arrays in the shared folder, sorted by hash: contexts (64 bits) with
-totals and count-of-count numbers, and n-grams (64 bits) with their counts; for each bucket of words, their hashes,
-counts and numbers of distinct words to the left.  Workers map the files into memory and look up tokens in sorted
-order; nothing is loaded whole, and the driver keeps a few sums.  Files are written aside and renamed, so a task that
-runs twice leaves the same file.  Workers must see the shared folder as a mounted path (``file:``).
+Storage.  For each bucket and order there is a file of flat arrays in the shared folder, sorted by hash: contexts
+(64 bits) with totals and count-of-count numbers, and n-grams (64 bits) with their counts; for each bucket of words, one
+of their hashes, counts and numbers of distinct words to the left.  Workers map the files into memory and look up tokens
+in sorted order; nothing is loaded whole, and the driver keeps a few sums.  The number of files grows with the corpus:
+a mapped file stays without a file descriptor, and of more than ``OPEN`` the one not used for longest is let go.  Files are
+written aside and renamed, so a task that runs twice leaves the same file.  Workers must see the shared folder as a
+mounted path (``file:``).
 
 Model.  P(w|h) = max(c(hw) - D(c), 0) / c(h) + g(h) P(w|h'), where h' lacks the first word of h: c are counts in the
 highest order and numbers of different words to the left in the others, ending with the uniform 1 / (V + 1) over the
@@ -26,6 +28,7 @@ Null texts are empty.  Without training rows every text has probability 1 and N
 from __future__ import annotations
 
 import math
+import mmap
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -47,6 +50,10 @@ _STEP, _JOIN = _U(0xD6E8FEB86659FD93), _U(0x9FB21C651E98DF25)
 CHUNK_TOKENS, BUCKET_CHARS, SCORE_BYTES = 1 << 20, 4 << 20, 4 << 20
 #: One text in so many is looked at for words that stand before very many others.
 SAMPLE = 64
+#: Files a worker keeps mapped; Linux lets a process have 65,530 mappings.
+OPEN = 1 << 15
+#: Rows told to the words' buckets at a time.
+TOLD = 1 << 20
 
 
 def local_path(uri: str) -> str:
@@ -175,12 +182,34 @@ def _small(array: np.ndarray) -> np.ndarray:
     return array.astype(next(k for k in ("<u1", "<u2", "<u4", "<u8") if most < 1 << (8 * int(k[2]))))
 
 
-def _save(path: str, array: np.ndarray) -> None:
+def _save(path: str, *arrays: np.ndarray) -> None:
+    """A file of the arrays' sizes in bytes, and the arrays, each at a multiple of eight bytes."""
     aside = f"{path}.{os.getpid()}.{os.urandom(4).hex()}"
-    array.tofile(aside)
+    with open(aside, "wb") as f:
+        f.write(np.array([a.nbytes for a in arrays], "<i8").tobytes())
+        for a in arrays:
+            f.write(a.tobytes() + bytes(-a.nbytes % 8))
     os.replace(aside, path)
 
 
+def _mapped(path: str, n: int) -> list[np.ndarray]:
+    """The bytes of the *n* arrays of a file, mapped into memory; none of them, if there is no file."""
+    try:
+        with open(path, "rb") as f:
+            data = np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False), np.uint8)
+    except FileNotFoundError:
+        return [np.zeros(0, np.uint8)] * n
+    sizes = data[: 8 * n].view("<i8")
+    ends = 8 * n + np.cumsum(sizes + -sizes % 8)
+    return [data[end - size + -(-size % 8) : end - (-size % 8)] for size, end in zip(sizes.tolist(), ends.tolist(), strict=True)]
+
+
+def _summed(key: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys in order, with their counts summed."""
+    names, inverse = np.unique(key, return_inverse=True)
+    return names, *(np.bincount(inverse, c, len(names)).astype(np.int64) for c in counts)
+
+
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tuple]]]:
     """Groups of consecutive rows with one bucket; a group must be used up before the next."""
     from itertools import groupby
@@ -292,15 +321,33 @@ def train(docs: DataFrame, chosen: Column, order: int = 2) -> Model:
         sums = np.stack([np.add.reduceat(x, first) for x in (c, c == 1, c == 2, c >= 3)], axis=1)
         key = gram(v, w)
         rank = np.argsort(key)
-        at = f"{folder}/{bucket}.{k}"
-        _save(f"{at}.contexts", names.astype("<u8"))
-        _save(f"{at}.sums", _small(sums))
-        _save(f"{at}.grams", key[rank].astype("<u8"))
-        _save(f"{at}.counts", _small(c[rank]))
+        _save(f"{folder}/{bucket}.{k}", names.astype("<u8"), _small(sums), key[rank].astype("<u8"), _small(c[rank]))
         return names, sums[:, 0]
 
+    def told(rows: list[tuple]) -> pa.RecordBatch:
+        """What n-grams of one or more buckets tell the words' buckets, a row for each of these."""
+        word, follows, before, raw, sizes = zip(*rows, strict=True)
+        word, follows = _summed(np.concatenate(word), np.concatenate(follows))
+        before, raw = _summed(np.concatenate(before), np.concatenate(raw))
+        words_at, before_at = bucket_of(word << _PART, buckets), bucket_of(before, buckets)
+        found = np.unique(np.concatenate([words_at, before_at]))
+        cut = lambda at, x: [x[i:j].tobytes() for i, j in zip(np.searchsorted(at, found), np.searchsorted(at, found, "right"), strict=True)]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(found, pa.int64()),
+                pa.array([_six(np.frombuffer(x, np.uint64)) for x in cut(words_at, word)], pa.binary()),
+                pa.array(cut(words_at, follows.astype("<i8")), pa.binary()),
+                pa.array(cut(before_at, before.astype("<u8")), pa.binary()),
+                pa.array(cut(before_at, raw.astype("<i8")), pa.binary()),
+                pa.array([np.sum(sizes, axis=0).tolist()] + [None] * (len(found) - 1), pa.list_(pa.int64())),
+            ],
+            names=["bucket", "words", "follows", "names", "totals", "sizes"],
+        )
+
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = order - 1
+        # A row for each pair of buckets would be rows by the square of the corpus: a task's buckets speak together.
+        tell, telling = [], 0
         for bucket, group in _by_bucket(batches):
             v, w, c = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
             lower = np.zeros((0, width), np.uint64)
@@ -339,22 +386,13 @@ def train(docs: DataFrame, chosen: Column, order: int = 2) -> Model:
             word, follows = np.unique(w, return_counts=True)
             known = before != BEGIN
             before, raw = before[known], raw[known]
-            home = np.concatenate([bucket_of(word << _PART, buckets), bucket_of(before, buckets)])
-            found = np.unique(home)
-            words_at, before_at = home[: len(word)], home[len(word) :]
-            sizes = [tokens_here, types, *of_counts]
-            cut = lambda at, x, b: x[np.searchsorted(at, b) : np.searchsorted(at, b, "right")]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(found, pa.int64()),
-                    pa.array([_six(cut(words_at, word, b)) for b in found], pa.binary()),
-                    pa.array([cut(words_at, follows, b).astype("<u4").tobytes() for b in found], pa.binary()),
-                    pa.array([cut(before_at, before, b).astype("<u8").tobytes() for b in found], pa.binary()),
-                    pa.array([cut(before_at, raw, b).astype("<i8").tobytes() for b in found], pa.binary()),
-                    pa.array([sizes] + [None] * (len(found) - 1), pa.list_(pa.int64())),
-                ],
-                names=["bucket", "words", "follows", "names", "totals", "sizes"],
-            )
+            tell.append((word, follows, before, raw, [tokens_here, types, *of_counts]))
+            telling += len(word) + len(before)
+            if telling >= TOLD:
+                yield told(tell)
+                tell, telling = [], 0
+        if tell:
+            yield told(tell)
 
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     packed = spread(rows).mapInArrow(count, "bucket bigint, contexts binary, sizes binary, words binary, counts binary")
@@ -368,25 +406,35 @@ def train(docs: DataFrame, chosen: Column, order: int = 2) -> Model:
         none = np.zeros(0, np.int64)
         for bucket, group in _by_bucket(batches):
             word, count, names, total = none.astype(np.uint64), none, none.astype(np.uint64), none
-            for _, six, follows, full, raw in group:
-                # Summed as they come; a bucket's words are far fewer than its rows.
-                word, inverse = np.unique(np.concatenate([word, _from_six(six)]), return_inverse=True)
-                count = np.bincount(inverse, np.concatenate([count, np.frombuffer(follows, "<u4")]), len(word)).astype(np.int64)
-                names, inverse = np.unique(np.concatenate([names, np.frombuffer(full, "<u8")]), return_inverse=True)
-                total = np.bincount(inverse, np.concatenate([total, np.frombuffer(raw, "<i8")]), len(names)).astype(np.int64)
+            new, held = [], 0
+
+            def fold(word, count, names, total, new):  # noqa: ANN001, ANN202
+                six, follows, full, raw = zip(*new, strict=True)
+                return (
+                    *_summed(np.concatenate([word, *map(_from_six, six)]), np.concatenate([count, *(np.frombuffer(x, "<i8") for x in follows)])),
+                    *_summed(np.concatenate([names, *(np.frombuffer(x, "<u8") for x in full)]), np.concatenate([total, *(np.frombuffer(x, "<i8") for x in raw)])),
+                )
+
+            for _, *row in group:
+                new.append(row)
+                held += len(row[1]) // 8 + len(row[2]) // 8
+                if held > max(1 << 18, len(word) + len(names)):
+                    word, count, names, total = fold(word, count, names, total, new)
+                    new, held = [], 0
+            if new:
+                word, count, names, total = fold(word, count, names, total, new)
             # A word is followed as often as it occurs; only ends are not.
             if int(bucket_of(np.array([END]), buckets)[0]) == bucket:
                 at = int(np.searchsorted(names, END))
                 names, total = np.insert(names, at, END), np.insert(total, at, n_train)
             place = np.minimum(np.searchsorted(word, names >> _PART), max(len(word) - 1, 0))
             contexts = np.where(word[place] == names >> _PART, count[place], 0) if len(word) else np.zeros(len(names), np.int64)
-            _save(f"{folder}/{bucket}.words", names.astype("<u8"))
-            _save(f"{folder}/{bucket}.occur", np.stack([total, contexts], axis=1).astype("<i8"))
+            _save(f"{folder}/{bucket}.words", names.astype("<u8"), np.stack([total, contexts], axis=1).astype("<i8"))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([[len(names), *_of_counts(contexts), int((contexts > 2).sum())]], pa.list_(pa.int64()))], names=["sizes"]
             )
 
-    told = merged.select("bucket", "words", "follows", "names", "totals").repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(
+    known_words = merged.select("bucket", "words", "follows", "names", "totals").repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(
         words_of, "sizes array<bigint>"
     )
 
@@ -394,7 +442,7 @@ def train(docs: DataFrame, chosen: Column, order: int = 2) -> Model:
         row = df.where("sizes IS NOT NULL").agg(*[F.sum(F.col("sizes")[i]).alias(f"s{i}") for i in range(n)]).head()
         return [int(x or 0) for x in row]
 
-    known, *of_words = summed(told, 6)
+    known, *of_words = summed(known_words, 6)
     total, types, *of_grams = summed(merged, 2 + 4 * (order - 1))
     dropped(merged)
     return Model(
@@ -420,23 +468,37 @@ class Reader:
         self.left = (d.one * one + d.two * two + d.more * more) / model.pair_types if model.pair_types else 1.0
         self.floor = self.left / (model.vocabulary + 1)
 
-    def array(self, name: str, rows: int | None = None, width: int = 1) -> np.ndarray:
-        """A file of 64-bit values, or of *rows* times *width* values of any size."""
-        if name not in self.open:
-            path = f"{self.model.folder}/{name}"
-            size = os.path.getsize(path) if os.path.exists(path) else 0
-            kind = f"<u{size // (rows * width)}" if rows and size else "<u8"
-            made = np.memmap(path, kind, "r") if size else np.zeros(0, kind)
-            self.open[name] = made.reshape(-1, width) if width > 1 else made
-        return self.open[name]
+    def _file(self, name: str, n: int) -> list[np.ndarray]:
+        found = self.open.pop(name, None)
+        if found is None:
+            if len(self.open) >= OPEN:
+                del self.open[next(iter(self.open))]
+            found = _mapped(f"{self.model.folder}/{name}", n)
+        self.open[name] = found  # the last in order is the last used
+        return found
+
+    def words(self, bucket: int) -> tuple[np.ndarray, np.ndarray]:
+        """A bucket's words, and how often each occurs and after how many others."""
+        names, occur = self._file(f"{bucket}.words", 2)
+        return names.view("<u8"), occur.view("<i8").reshape(-1, 2)
+
+    def level(self, bucket: int, k: int, at: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of a bucket's n-grams of order *k*, its contexts with their sums (*at* is 0), or the n-grams with their counts (2)."""
+        keys, values = self._file(f"{bucket}.{k}", 4)[at : at + 2]
+        keys = keys.view("<u8")
+        if not len(keys):
+            return keys, values
+        width = 1 if at else 4
+        values = values.view(f"<u{len(values) // (len(keys) * width)}")
+        return keys, values if at else values.reshape(-1, 4)
 
     @staticmethod
     def _runs(bucket: np.ndarray) -> list[tuple[int, np.ndarray]]:
         """``(bucket, places)`` of the rows of each bucket.  A bucket's arrays fit in a cache, so rows need no order."""
         order = np.argsort(bucket.astype(np.uint16) if bucket.max(initial=0) < 1 << 16 else bucket, kind="stable")
         ranked = bucket[order]
-        at = np.flatnonzero(np.diff(ranked, prepend=-1))
-        return [(int(ranked[x]), order[x:y]) for x, y in zip(at, np.append(at[1:], len(ranked)), strict=True)]
+        at = np.append(np.flatnonzero(np.diff(ranked, prepend=-1)), len(ranked))
+        return [(int(ranked[x]), order[x:y]) for x, y in zip(at[:-1], at[1:], strict=True)]
 
     @staticmethod
     def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -447,46 +509,52 @@ class Reader:
 
     def _sums(self, k: int, bucket: int, context: np.ndarray, places: np.ndarray, into: np.ndarray) -> None:
         """Add what a bucket holds of the contexts at *places* to those rows of *into*."""
-        names = self.array(f"{bucket}.{k}.contexts")
+        names, sums = self.level(bucket, k, 0)
         at, there = self._find(names, context[places])
         if there.any():
-            into[places[there]] += self.array(f"{bucket}.{k}.sums", len(names), 4)[at[there]].astype(np.int64)
+            into[places[there]] += sums[at[there]].astype(np.int64)
 
     def look_up(self, contexts: list[np.ndarray], token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``(count, probability)`` of each token after its contexts."""
         m, layout = self.model, self.model.layout
         count, p = np.zeros(len(token), np.int64), np.full(len(token), self.floor)
         for b, own in self._runs(bucket_of(token, layout.buckets)):
-            at, there = self._find(self.array(f"{b}.words"), token[own])
+            names, occur = self.words(b)
+            at, there = self._find(names, token[own])
             at, places = at[there], own[there]
             if len(at):
-                occur = self.array(f"{b}.occur").reshape(-1, 2)[at].astype(np.int64)
+                occur = occur[at].astype(np.int64)
                 count[places] = occur[:, 0]
                 p[places] += (occur[:, 1] - self.discounts[0][np.minimum(occur[:, 1], 3)]) / m.pair_types
         word = token >> _PART
         hot, number = layout.of_hot(contexts[0])
         runs = self._runs(layout.bucket(contexts[0], word))
-        # A hot word's contexts are in several buckets, each with a part of the sums.
-        spread = []
-        for i in np.unique(number[hot]).tolist():
-            _, first, parts = layout.hot[i]
-            own = np.flatnonzero(hot & (number == i))
-            spread += [(b, own) for b in range(first, first + parts)]
+        at_hot = np.flatnonzero(hot)
+        spread = [(i, at_hot[x]) for i, x in self._runs(number[at_hot])]
         for k in range(2, m.order + 1):
             context, d = contexts[k - 2], self.discounts[k - 1]
             sums = np.zeros((len(token), 4), np.int64)
-            for b, own in [*(r for r in runs if r[0] < layout.buckets), *spread]:
-                self._sums(k, b, context, own, sums)
+            for b, own in runs:
+                if b < layout.buckets:
+                    self._sums(k, b, context, own, sums)
+            # A hot word's contexts are in several buckets, each with a part of the sums; each is looked up once.
+            for i, own in spread:
+                _, first, parts = layout.hot[i]
+                names, inverse = np.unique(context[own], return_inverse=True)
+                total, every = np.zeros((len(names), 4), np.int64), np.arange(len(names))
+                for b in range(first, first + parts):
+                    self._sums(k, b, names, every, total)
+                sums[own] = total[inverse]
             known = sums[:, 0] > 0
             s = sums[known]
             p[known] *= (d[1] * s[:, 1] + d[2] * s[:, 2] + d[3] * s[:, 3]) / s[:, 0]
             key = gram(context, word)
             for b, own in runs:
-                grams = self.array(f"{b}.{k}.grams")
+                grams, counts = self.level(b, k, 2)
                 at, there = self._find(grams, key[own])
                 if there.any():
                     places = own[there]
-                    c = self.array(f"{b}.{k}.counts", len(grams))[at[there]].astype(np.int64)
+                    c = counts[at[there]].astype(np.int64)
                     p[places] += (c - d[np.minimum(c, 3)]) / sums[places, 0]
         return count, p
 

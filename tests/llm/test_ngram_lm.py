@@ -1,11 +1,14 @@
 import math
+import os
 import re
+import resource
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from tessera.llm import ngram_lm
+from tessera.llm import ngram_lm, textnp
 from tessera.llm.common import crc_mod
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -119,3 +122,25 @@ def test_a_chunk_of_over_a_million_contexts():
     assert len(packed) == 1
     assert (np.frombuffer(packed[0]["sizes"], "<u4") == 1).all() and len(packed[0]["contexts"]) == 8 * n
     assert len(packed[0]["counts"]) == 4 * n and (np.frombuffer(packed[0]["counts"], "<u4") == 1).all()
+
+def test_a_model_of_more_files_than_may_be_open(small, monkeypatch):
+    monkeypatch.setattr(ngram_lm, "BUCKET_CHARS", 2_000)
+    model = ngram_lm.train(small, crc_mod("doc_id", 7) != 2)
+    assert len(os.listdir(model.folder)) > 500
+    rows = small.select("text").collect()
+    plain = Plain([r.text for r in small.where(crc_mod("doc_id", 7) != 2).collect()], 2)
+    offsets, data = textnp.utf8(pa.array([r.text for r in rows]))
+    contexts, token, firsts = ngram_lm.tokens(offsets, data)
+    expected = {i: plain.score(rows[i].text) for i in range(0, len(rows), 40)}
+    soft, hard = resource.getrlimit(resource.RLIMIT_NOFILE)
+    for most in (ngram_lm.OPEN, 50):
+        monkeypatch.setattr(ngram_lm, "OPEN", most)
+        own = ngram_lm.Reader(model)
+        resource.setrlimit(resource.RLIMIT_NOFILE, (400, hard))
+        try:
+            _, p = own.look_up(contexts, token)
+        finally:
+            resource.setrlimit(resource.RLIMIT_NOFILE, (soft, hard))
+        assert len(own.open) <= most
+        score = np.add.reduceat(np.log10(p), firsts[:-1])
+        assert {i: score[i] for i in expected} == pytest.approx(expected, abs=1e-6)
