@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.llm import components as joined
 from tessera.llm import near_dedup, textnp
 from tessera.llm.components import components
 
@@ -101,6 +102,18 @@ def test_a_clump_of_unlinked_texts_is_not_paired_off(spark):
     assert tested.count() < 300 * 299 / 4
 
 
+@pytest.mark.parametrize("most", [0, joined.AT_ONCE])
+def test_few_edges_are_joined_at_once(spark, monkeypatch, most):
+    monkeypatch.setattr(joined, "AT_ONCE", most)
+    rounds = []
+    monkeypatch.setattr(joined, "join_held", lambda *x, f=joined.join_held: rounds.append(1) or f(*x))
+    edges = [(bytes([i, 255 - i]), bytes([i + 1, 254 - i])) for i in range(20)] + [(b"\xff", b"\x7f"), (b"a", b"a")]
+    rows = components(spark.createDataFrame([(bytearray(a), bytearray(b)) for a, b in edges[::-1]], "a binary, b binary")).collect()
+    found = {bytes(r.node): bytes(r.label) for r in rows}
+    assert found == {bytes([i, 255 - i]): b"\x00\xff" for i in range(21)} | {b"\xff": b"\x7f", b"\x7f": b"\x7f", b"a": b"a"}
+    assert len(rows) == len(found) and bool(rounds) == (not most)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (200, 200)]
     rows = components(spark.createDataFrame(edges, "a long, b long")).collect()
