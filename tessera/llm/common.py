@@ -43,6 +43,15 @@ def crc_mod(column: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def meet(left: DataFrame, right: DataFrame, on: str | list[str] | Column, how: str = "inner") -> DataFrame:
+    """A join by sorted shuffles.
+
+    Spark takes sizes after an explode, an Arrow function or a list's aggregate from the row before, and those of tables
+    from compressed files: it would broadcast through the driver what is many times as large as it seems.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, share: int = 1000) -> DataFrame:
     """Join *rows* to the one row that *groups* has for their *key* (never null), without a task for a hot group's rows.
 
@@ -59,7 +68,7 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
         filler = F.hex(filler) if kind == "string" else F.unhex(F.hex(filler))
     marked = rows.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")
     marked = marked.withColumn("__key", F.when(F.col("__hot").isNull(), F.col(key)).otherwise(filler))
-    return marked.join(cold, F.col("__key") == F.col("__cold"), "left").select(
+    return meet(marked, cold, F.col("__key") == F.col("__cold"), "left").select(
         *rows.columns, *[F.coalesce(f"__hot_{c}", f"__cold_{c}").alias(c) for c in rest]
     )
 
@@ -73,6 +82,6 @@ def join_held(rows: DataFrame, groups: DataFrame, key: str, size: str, total: in
     hot = [r[0] for r in groups.where(F.col(size) * share > total).select(key).collect()]
     slim = groups.drop(size)
     if not hot:
-        return rows.join(slim, key)
+        return meet(rows, slim, key)
     is_hot = F.col(key).isin(hot)
-    return rows.where(is_hot).join(F.broadcast(slim.where(is_hot)), key).unionByName(rows.where(~is_hot).join(slim.where(~is_hot), key))
+    return rows.where(is_hot).join(F.broadcast(slim.where(is_hot)), key).unionByName(meet(rows.where(~is_hot), slim.where(~is_hot), key))

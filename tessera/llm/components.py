@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import dropped, join_held, written
+from tessera.llm.common import dropped, join_held, meet, written
 
 #: Edges that one task joins in its memory, some 50 MB.  Rounds over as few rows take a moment each, and the driver keeps
 #: a thread for a minute for every shuffle and broadcast: hundreds of them, where many rounds follow each other.
@@ -65,10 +65,10 @@ def components(edges: DataFrame, files: int | None = None) -> DataFrame:
             .agg(F.min("label").alias("__near"))
         )
         stepped = written(
-            labels.join(near, "node").select("node", "degree", F.col("label").alias("__old"), F.least("label", "__near").alias("__to")), "cc-steps", files
+            meet(labels, near, "node").select("node", "degree", F.col("label").alias("__old"), F.least("label", "__near").alias("__to")), "cc-steps", files
         )
         held = stepped.groupBy("__to").agg(F.count(F.lit(1)).alias("__n"))
-        ahead = written(labels.select(F.col("node").alias("__to"), F.col("label").alias("__next")).join(held, "__to"), "cc-ahead", files)
+        ahead = written(meet(labels.select(F.col("node").alias("__to"), F.col("label").alias("__next")), held, "__to"), "cc-ahead", files)
         moved = written(
             join_held(stepped, ahead, "__to", "__n", n_nodes).select("node", "degree", "__old", F.least("__to", "__next").alias("label")), "cc-labels", files
         )

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textnp
-from tessera.llm.common import SORTED_BYTES, dropped, join_groups, join_held, parts_of, spread, text_of, written
+from tessera.llm.common import SORTED_BYTES, dropped, join_groups, join_held, meet, parts_of, spread, text_of, written
 from tessera.llm.components import components
 
 WORDS, SKETCHES, TAKE, SHORT_TAKE = 5, 32, 6, 2
@@ -210,10 +210,10 @@ def _align(pairs: DataFrame, runs: DataFrame) -> DataFrame:
     salts = lambda c: F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int")
     salted = pairs.select("a", "b", salts("a").alias("sa"), salts("b").alias("sb"))
     # Either end of a pair can be the leader.
-    side = lambda own, salt, to: runs.join(salted.select(F.col(own).alias("node"), salt).distinct(), "node").select(
+    side = lambda own, salt, to: meet(runs, salted.select(F.col(own).alias("node"), salt).distinct(), "node").select(
         F.col("node").alias(own), salt, F.col("runs").alias(to)
     )
-    both = salted.join(side("b", "sa", "rb"), ["b", "sa"]).join(side("a", "sb", "ra"), ["a", "sb"])
+    both = meet(meet(salted, side("b", "sa", "rb"), ["b", "sa"]), side("a", "sb", "ra"), ["a", "sb"])
     return both.select("a", "b", "ra", "rb").mapInArrow(run, "a binary, b binary, m bigint, linked boolean")
 
 
@@ -272,7 +272,7 @@ def _families(nodes: DataFrame, files: int | None = None) -> DataFrame:
     )
     least = F.floor((F.col("n") * 4 + 4) / 5).cast("int")
     heads = written(
-        ranked.join(nodes.select("id", "label", "n"), "id")
+        meet(ranked, nodes.select("id", "label", "n"), "id")
         .where(F.size("held") >= least)
         .select("id", "label", F.explode(F.slice(F.col("held")["token"], F.lit(1), F.size("held") - least + 1)).alias("token")),
         "near-heads",
@@ -344,14 +344,12 @@ def _within(rows: list[tuple]) -> list[tuple[bytes, bytes, int, bool]]:
 def _rest(open_: DataFrame, runs: DataFrame, files: int | None = None) -> DataFrame:
     """``a, b, m, linked``: links enough to join all classes that links between the nodes of *open_* join, and other pairs aligned."""
     nodes = written(
-        open_.select("node", "label")
-        .distinct()
-        .join(runs, "node")
+        meet(open_.select("node", "label").distinct(), runs, "node")
         .select(F.monotonically_increasing_id().alias("id"), "node", "label", "runs", (F.length("runs") / 4).cast("long").alias("n")),
         "near-open",
         files,
     )
-    held = written(nodes.join(_families(nodes, files), "id"), "near-families", files)
+    held = written(meet(nodes, _families(nodes, files), "id"), "near-families", files)
     sizes = written(
         held.groupBy("family").agg(
             F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_RUNS)).cast("int").alias("blocks"),
@@ -418,7 +416,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     n_members = members.count()
     # The texts themselves are read once; copies were cut to one for each task.
     needed = members.select("node").distinct()
-    runs = written(keyed.select("node", "runs").join(needed, "node", "left_semi").distinct(), "near-runs", files)
+    runs = written(meet(keyed.select("node", "runs"), needed, "node", "left_semi").distinct(), "near-runs", files)
     none = docs.sparkSession.createDataFrame([], "node binary, label binary")
     stars = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
     pairs = written(_ordered(stars), "near-pairs", files)
@@ -430,9 +428,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Classes after more links, found by the components of the classes they join."""
         name = lambda c, to: labels.select(F.col("node").alias(c), F.col("label").alias(to))
         over = written(
-            new.where("linked")
-            .join(name("a", "la"), "a", "left")
-            .join(name("b", "lb"), "b", "left")
+            meet(meet(new.where("linked"), name("a", "la"), "a", "left"), name("b", "lb"), "b", "left")
             .select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")),
             "near-over",
             files,
@@ -443,7 +439,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         )
         sizes = old.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
         out = written(
-            join_groups(old, roots.join(sizes, "label"), "label", "size", old.count())
+            join_groups(old, meet(roots, sizes, "label"), "label", "size", old.count())
             .groupBy("node")
             .agg(F.min(F.coalesce("to", "label")).alias("label")),
             "near-labels",
@@ -455,7 +451,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     def active(labels: DataFrame) -> DataFrame:
         """Members of buckets that hold several classes, with their class and the bucket's size."""
         named = written(
-            members.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "near-named", files
+            meet(members.select("key", "node"), labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "near-named", files
         )
         mixed = written(
             named.groupBy("key")
@@ -482,7 +478,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 files,
             )
             stars = join_held(open_, heads, "key", "k", n_members).where("label <> t.label").select(F.col("t.node").alias("a"), F.col("node").alias("b"))
-            pairs = written(_ordered(stars).join(tested.select("a", "b"), ["a", "b"], "left_anti"), "near-pairs", files)
+            pairs = written(meet(_ordered(stars), tested.select("a", "b"), ["a", "b"], "left_anti"), "near-pairs", files)
             new = written(_align(pairs, runs), "near-tested", files)
             dropped(pairs, heads)
         else:
@@ -503,7 +499,7 @@ def _classes(docs: DataFrame) -> DataFrame:
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n"))
     _, labels = links(docs)
     named = written(
-        nodes.join(labels, "node", "left").select("node", "id", "n", F.coalesce("label", "node").alias("label")), "near-labelled", files
+        meet(nodes, labels, "node", "left").select("node", "id", "n", F.coalesce("label", "node").alias("label")), "near-labelled", files
     )
     total = rows.count()
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node"))
@@ -541,5 +537,5 @@ def survivors(docs: DataFrame) -> DataFrame:
         return F.concat(node, F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).cast("binary"))
 
     kept = _classes(docs).where("kept").select(key(F.col("node")).alias("__kept"))
-    stays = docs.withColumn("__key", key(_node(docs))).join(kept, F.col("__key") == F.col("__kept"), "left_semi")
+    stays = meet(docs.withColumn("__key", key(_node(docs))), kept, F.col("__key") == F.col("__kept"), "left_semi")
     return stays.dropDuplicates(["__key"]).select(*names).coalesce(parts_of(docs, SORTED_BYTES))

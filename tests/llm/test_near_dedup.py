@@ -160,3 +160,17 @@ def test_the_last_stage_needs_no_second_bucket(spark):
     # Each pair has 24 of 27 runs in common; every text stands in one mixed bucket only.
     found = near_dedup._rest(held.select(F.lit(1).cast("long").alias("key"), "node", F.col("node").alias("label")), held).where("linked").collect()
     assert sorted((bytes(r.a), bytes(r.b), r.m) for r in found) == [(b"a%03d" % i, b"b%03d" % i, 24) for i in range(200)]
+
+
+def test_runs_and_lists_of_them_are_not_broadcast(spark, monkeypatch):
+    """Sizes after an Arrow function or a list's aggregate are guesses; only the rows of hot keys go through the driver."""
+    plans = []
+    monkeypatch.setattr(near_dedup, "written", lambda df, *x, f=near_dedup.written: plans.append(df._jdf.queryExecution().executedPlan().toString()) or f(df, *x))
+    # A thousandth of the rows is more than two texts hold, so that no key is hot.
+    runs = [np.random.default_rng(i // 2).integers(0, 1 << 32, 2000, dtype=np.uint64).astype("<u4").tobytes() for i in range(20)]
+    rows = [(i, bytes([i]) * 16, bytes([i]) * 16, r, 2000) for i, r in enumerate(runs)]
+    nodes = near_dedup.written(spark.createDataFrame(rows, "id long, node binary, label binary, runs binary, n long"), "near-test")
+    found = {r.id: r.family for r in near_dedup._families(nodes).collect()}
+    assert len(found) == 20 and len(set(found.values())) == 10
+    heads = [p for p in plans if "MapInArrow" in p and "SortMergeJoin" in p]
+    assert heads and not any("BroadcastExchange" in p for p in heads)
